@@ -6,20 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def mean_of(total: Column, count: Column, scale: int) -> Column:
+# Ratings have one decimal: their totals are divided as whole tenths.
+TENTHS = 10
+
+
+def mean_of(total: Column, count: Column, unit: int = 1) -> Column:
     """``total / count`` as a double, NULL for no rows.
 
-    ``scale`` is the number of decimals of the summed values. Both sides are
-    scaled to whole numbers first, so the one division is correctly rounded
-    and the result is the same however the rows were partitioned.
+    Totals of integers and decimals are exact, so the result is the same however
+    the rows were partitioned. ``unit`` makes the total a whole number, which
+    leaves the division as the only rounding.
     """
-    unit = F.lit(10**scale)
     return F.try_divide((total * unit).cast("double"), (count * unit).cast("double"))
 
 
-def exact_mean(value: Column, scale: int) -> Column:
+def exact_mean(value: Column, unit: int = 1) -> Column:
     """Aggregate: mean of the non-null values of an integer or decimal column."""
-    return mean_of(F.sum(value), F.count(value), scale)
+    return mean_of(F.sum(value), F.count(value), unit)
 
 
 def round_half_up(value: Column, digits: int) -> Column:

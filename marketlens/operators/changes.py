@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.functions.checks import is_valid
+from marketlens.functions.literals import days_before, typed
 from marketlens.functions.parse import strip
 from marketlens.operators.ingest import assign_ids
 from marketlens.operators.joins import reference_count
@@ -64,13 +65,13 @@ def _new_values(df: DataFrame, values: Mapping[str, object], condition: Column |
         raise ValueError(f"{key} is never changed")
     updates = {}
     for name, value in values.items():
-        new = F.lit(value).cast(df.schema[name].dataType)
+        new = typed(df, name, value)
         updates[name] = new if condition is None else F.when(condition, new).otherwise(F.col(name))
     return df.withColumns(updates)
 
 
 def _matches(df: DataFrame, column: str, value) -> Column:
-    return F.col(column) == F.lit(value).cast(df.schema[column].dataType)
+    return F.col(column) == typed(df, column, value)
 
 
 def update_by_id(df: DataFrame, row_id, values: Mapping[str, object], key: str = "id") -> DataFrame:
@@ -188,8 +189,7 @@ def retain(df: DataFrame, as_of: str, days: int = 30, columns: Sequence[str] = A
     usable = [name for name in columns if name in df.columns]
     if not usable:
         return df
-    limit = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    return _without(df, F.col(usable[0]) < limit)
+    return _without(df, F.col(usable[0]) < days_before(df, usable[0], as_of, days))
 
 
 def drop_orphans(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:

@@ -5,36 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.literals import typed
 from marketlens.functions.parse import MISSING
 from marketlens.operators.lookup import lookup_join
 from marketlens.operators.numbering import with_position
 
 
-def _typed(df: DataFrame, column: str, value) -> Column:
-    """The value as a literal of the column's type, so that the comparison reaches the scan."""
-    return F.lit(value).cast(df.schema[column].dataType)
-
-
 def contains(df: DataFrame, column: str, text: str) -> DataFrame:
     """Rows whose text contains ``text``, case-sensitive; ``%`` and ``_`` are wildcards."""
     return df.where(F.col(column).like(f"%{text}%"))
 
 
 def equals(df: DataFrame, column: str, value) -> DataFrame:
-    return df.where(F.col(column) == _typed(df, column, value))
+    return df.where(F.col(column) == typed(df, column, value))
 
 
 def greater(df: DataFrame, column: str, value) -> DataFrame:
-    return df.where(F.col(column) > _typed(df, column, value))
+    return df.where(F.col(column) > typed(df, column, value))
 
 
 def less(df: DataFrame, column: str, value) -> DataFrame:
-    return df.where(F.col(column) < _typed(df, column, value))
+    return df.where(F.col(column) < typed(df, column, value))
 
 
 def between(df: DataFrame, column: str, low, high) -> DataFrame:
     """Both ends included."""
-    return df.where(F.col(column).between(_typed(df, column, low), _typed(df, column, high)))
+    return df.where(F.col(column).between(typed(df, column, low), typed(df, column, high)))
 
 
 def is_null(df: DataFrame, column: str) -> DataFrame:
@@ -50,9 +46,9 @@ def in_range(df: DataFrame, column: str, low=None, high=None) -> DataFrame:
     if low is None and high is None:
         raise ValueError("give at least one end of the range")
     if low is not None:
-        df = df.where(F.col(column) >= _typed(df, column, low))
+        df = df.where(F.col(column) >= typed(df, column, low))
     if high is not None:
-        df = df.where(F.col(column) <= _typed(df, column, high))
+        df = df.where(F.col(column) <= typed(df, column, high))
     return df
 
 

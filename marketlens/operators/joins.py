@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numeric import mean_of, round_half_up
+from marketlens.functions.numeric import TENTHS, mean_of, round_half_up
 
 MONEY = "decimal(10,2)"
 
@@ -41,7 +41,7 @@ def menu_size(restaurants: DataFrame, products: DataFrame, n: int = 20) -> DataF
             "category",
             "rating",
             F.coalesce("n_products", F.lit(0)).alias("total_products"),
-            round_half_up(mean_of(F.col("price_sum"), F.col("n_priced"), 2), 2).alias("avg_product_price"),
+            round_half_up(mean_of(F.col("price_sum"), F.col("n_priced")), 2).alias("avg_product_price"),
         )
         .orderBy(F.desc("total_products"), F.desc_nulls_last("rating"), "id")
         .limit(n)
@@ -111,8 +111,8 @@ def category_analysis(restaurants: DataFrame, products: DataFrame) -> DataFrame:
             # One row per restaurant here, so counting rows counts distinct ids.
             F.count("id").alias("total_restaurants"),
             F.coalesce(F.sum("n_products"), F.lit(0)).alias("total_products"),
-            round_half_up(mean_of(F.sum("price_sum"), F.sum("n_priced"), 2), 2).alias("avg_product_price"),
-            round_half_up(mean_of(F.sum(F.col("rating") * rated), F.sum(rated), 1), 2).alias("avg_restaurant_rating"),
+            round_half_up(mean_of(F.sum("price_sum"), F.sum("n_priced")), 2).alias("avg_product_price"),
+            round_half_up(mean_of(F.sum(F.col("rating") * rated), F.sum(rated), TENTHS), 2).alias("avg_restaurant_rating"),
         )
         .orderBy(F.desc("total_products"), F.asc_nulls_last("restaurant_category"))
     )
@@ -130,7 +130,7 @@ def price_matrix(restaurants: DataFrame, products: DataFrame) -> DataFrame:
         .agg(
             F.sum("n_products").alias("product_count"),
             F.min("price_min").cast(MONEY).alias("min_price"),
-            round_half_up(mean_of(F.sum("price_sum"), F.sum("n_priced"), 2), 2).alias("avg_price"),
+            round_half_up(mean_of(F.sum("price_sum"), F.sum("n_priced")), 2).alias("avg_price"),
             F.max("price_max").cast(MONEY).alias("max_price"),
         )
         .orderBy(F.asc_nulls_last("restaurant_category"), F.desc("avg_price"), F.asc_nulls_last("product_category"))

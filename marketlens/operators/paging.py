@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.literals import typed
 from marketlens.operators.numbering import with_position
 
 # Up to this offset a page is a top-k, whose candidates fit each task and the driver.
@@ -63,8 +64,7 @@ def page_ordered(
 def page_after(df: DataFrame, last_key, size: int = 20, key: str = "id") -> DataFrame:
     """The page that follows a known last key: a filtered top-k, however deep."""
     _check_size(size, 1)
-    after = F.col(key) > F.lit(last_key).cast(df.schema[key].dataType)
-    return df.where(after).orderBy(F.asc(key)).limit(size)
+    return df.where(F.col(key) > typed(df, key, last_key)).orderBy(F.asc(key)).limit(size)
 
 
 def latest(df: DataFrame, n: int = 10, key: str = "id") -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.checks import is_missing, quality_band, quality_score
-from marketlens.functions.numeric import percent, round_half_up
-from marketlens.operators.joins import orphans
+from marketlens.functions.literals import typed
+from marketlens.functions.numeric import exact_mean, percent, round_half_up
 from marketlens.schemas import is_text
 
 
@@ -82,8 +82,8 @@ def outside(column: str, low, high) -> Column:
     return (F.col(column) < low) | (F.col(column) > high)
 
 
-def after(column: str, as_of: str) -> Column:
-    return F.col(column) > F.lit(as_of).cast("timestamp")
+def after(df: DataFrame, column: str, as_of: str) -> Column:
+    return F.col(column) > typed(df, column, as_of)
 
 
 def bad_urls(df: DataFrame, column: str) -> DataFrame:
@@ -103,7 +103,7 @@ def negatives(df: DataFrame, column: str) -> DataFrame:
 
 
 def future_rows(df: DataFrame, column: str, as_of: str) -> DataFrame:
-    return df.where(after(column, as_of))
+    return df.where(after(df, column, as_of))
 
 
 def orphan_rule(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
@@ -145,7 +145,7 @@ def default_rules(as_of: str) -> list[Rule]:
     return rules + [
         Rule("categories", "bad_url", lambda df: bad_url("links")),
         Rule("categories", "short_name", lambda df: too_short("categorias", 2)),
-        Rule("categories", "future_created_at", lambda df: after("created_at", as_of)),
+        Rule("categories", "future_created_at", lambda df: after(df, "created_at", as_of)),
         Rule("restaurants", "rating_out_of_range", lambda df: outside("rating", 0, 5)),
     ]
 
@@ -272,12 +272,11 @@ def report_summary(per_table: DataFrame) -> DataFrame:
     """Totals and the mean score over a report's tables."""
     # Scores have one decimal: summed as decimals, the mean does not depend on their order.
     score = F.col("data_quality_score").cast("decimal(5,1)")
-    mean = F.try_divide((F.sum(score) * 10).cast("double"), F.count(F.lit(1)).cast("double")) / 10.0
     summary = per_table.agg(
         F.count(F.lit(1)).alias("total_tables"),
         F.sum("record_count").alias("total_records"),
         F.sum("null_fields").alias("total_nulls"),
         F.sum("duplicate_records").alias("total_duplicates"),
-        round_half_up(mean, 1).alias("average_quality_score"),
+        round_half_up(exact_mean(score), 1).alias("average_quality_score"),
     )
     return summary.withColumn("band", quality_band(F.col("average_quality_score")))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.checks import latency_grade
-from marketlens.functions.numeric import percent
+from marketlens.functions.literals import typed
+from marketlens.functions.numeric import exact_mean, percent
 
 
 def _newest() -> list[Column]:
@@ -41,7 +42,7 @@ def log_stats(log: DataFrame) -> DataFrame:
         (total - good).alias("errors"),
         percent(good, total).alias("success_pct"),
         percent(total - good, total).alias("error_pct"),
-        (F.try_divide(F.sum(micros).cast("double"), F.count(micros).cast("double")) / 1_000_000.0).alias("avg_time"),
+        (exact_mean(micros) / 1_000_000.0).alias("avg_time"),
         F.min("execution_time").alias("min_time"),
         F.max("execution_time").alias("max_time"),
     )
@@ -49,8 +50,8 @@ def log_stats(log: DataFrame) -> DataFrame:
 
 def queries_on(log: DataFrame, as_of: str) -> DataFrame:
     """Entries of one day, as a range of times so that files can be skipped."""
-    day = F.to_date(F.lit(as_of).cast("timestamp"))
-    start, end = day.cast("timestamp"), F.date_add(day, 1).cast("timestamp")
+    day = F.to_date(F.lit(as_of))
+    start, end = typed(log, "ts", day), typed(log, "ts", F.date_add(day, 1))
     return log.where((F.col("ts") >= start) & (F.col("ts") < end))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.functions.numeric import exact_mean, mean_of, percent
+from marketlens.functions.literals import days_before
+from marketlens.functions.numeric import TENTHS, exact_mean, mean_of, percent
 from marketlens.schemas import is_numeric, is_text
 
 
@@ -41,14 +42,12 @@ def describe(df: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*entries)))
 
 
-def _value_type(fields: list[T.StructField]) -> tuple[T.DataType, int | None]:
-    """A type that holds all the columns, and its decimals if sums of it are exact."""
+def _value_type(fields: list[T.StructField]) -> T.DataType:
+    """A type that holds all the columns: a decimal, whose sums are exact, where possible."""
     decimals = [field.dataType.scale for field in fields if isinstance(field.dataType, T.DecimalType)]
     exact = all(isinstance(field.dataType, (T.IntegralType, T.DecimalType)) for field in fields)
     scale = max(decimals, default=0)
-    if exact and scale <= 3:
-        return T.DecimalType(22, scale), scale
-    return T.DoubleType(), None
+    return T.DecimalType(22, scale) if exact and scale <= 3 else T.DoubleType()
 
 
 def numeric_profile(df: DataFrame) -> DataFrame:
@@ -59,20 +58,17 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     value, however frequent, is collected in one place.
     """
     fields = [field for field in df.schema.fields if is_numeric(field)]
-    value_type, scale = _value_type(fields)
+    value_type = _value_type(fields)
     names = [field.name for field in fields]
     values = df.select([F.col(name).cast(value_type).alias(name) for name in names]).unpivot(
         [], names, "column", "value"
     )
     counted = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    if scale is None:
-        mean = F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n"))
-    else:
-        mean = mean_of(F.sum(F.col("value") * F.col("n").cast("decimal(15,0)")), F.sum("n"), scale)
+    times = F.col("n") if isinstance(value_type, T.DoubleType) else F.col("n").cast("decimal(15,0)")
     return counted.groupBy("column").agg(
         F.min("value").cast("double").alias("min"),
         F.max("value").cast("double").alias("max"),
-        mean.alias("avg"),
+        mean_of(F.sum(F.col("value") * times), F.sum("n")).alias("avg"),
         F.count(F.lit(1)).alias("distinct"),
     )
 
@@ -101,8 +97,7 @@ def common_values(df: DataFrame, column: str, n: int = 5, max_distinct: int = 20
 
 def recent(df: DataFrame, column: str, as_of: str, days: int = 1) -> DataFrame:
     """Rows of the ``days`` up to a point in time (and later)."""
-    start = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    return df.where(F.col(column) >= start)
+    return df.where(F.col(column) >= days_before(df, column, as_of, days))
 
 
 def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -119,7 +114,7 @@ def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def restaurant_stats(restaurants: DataFrame) -> DataFrame:
     return restaurants.agg(
-        exact_mean(F.col("rating"), 1).alias("avg_rating"),
+        exact_mean(F.col("rating"), TENTHS).alias("avg_rating"),
         F.count_distinct("city").alias("cities"),
         F.count_distinct("category").alias("categories"),
     )
@@ -127,7 +122,7 @@ def restaurant_stats(restaurants: DataFrame) -> DataFrame:
 
 def product_stats(products: DataFrame) -> DataFrame:
     return products.agg(
-        exact_mean(F.col("price"), 2).alias("avg_price"),
+        exact_mean(F.col("price")).alias("avg_price"),
         F.count_distinct("restaurant_id").alias("restaurants_with_products"),
     )
 

@@ -82,20 +82,20 @@ FROM {orders}""",
 SELECT id, CASE WHEN id % 10 = 0 THEN concat('loja ', CAST(id AS STRING)) ELSE name END AS name, category, rating, delivery_time, delivery_fee,
  CASE WHEN id % 10 = 0 THEN 'BIRIGUI' ELSE city END AS city, link, reviews, min_order, scraped_at
 FROM {restaurants}""",
-    # Scraped menu items, one per order line; some name no restaurant or category.
+    # Scraped menu items, one per order; some name no restaurant or category.
     "product_staging": """
-SELECT l_orderkey * 16 + l_linenumber AS pos,
- CASE WHEN l_orderkey % 53 = 0 THEN NULL ELSE l_suppkey END AS restaurant_id,
- concat('Loja ', CAST(l_suppkey AS STRING)) AS restaurant_name,
- CASE WHEN l_orderkey % 59 = 0 THEN NULL ELSE l_returnflag END AS category,
- CASE WHEN l_orderkey % 61 = 0 THEN 'N/A' WHEN l_orderkey % 67 = 0 THEN 'ab' WHEN l_linenumber % 2 = 0 THEN concat('ITEM ', CAST(l_partkey AS STRING)) ELSE concat(' Item ', CAST(l_partkey AS STRING)) END AS nome,
- CASE WHEN l_linenumber = 3 THEN 'N/A' ELSE concat('Feito na hora ', l_linestatus) END AS descricao,
- CASE WHEN l_linenumber = 5 THEN 'N/A' WHEN l_orderkey % 71 = 0 THEN 'sob consulta' WHEN l_extendedprice >= 1000 AND l_orderkey % 2 = 0 THEN 'R$ 1.999,90' ELSE concat('R$ ', replace(CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS STRING), '.', ',')) END AS preco,
- concat('Item do dia R$ ', CAST(l_linenumber AS STRING), ',50 cada') AS item_txt
-FROM {lineitem}""",
+SELECT o_orderkey AS pos,
+ CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_custkey END AS restaurant_id,
+ concat('Loja ', CAST(o_custkey AS STRING)) AS restaurant_name,
+ CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE o_orderstatus END AS category,
+ CASE WHEN o_orderkey % 61 = 0 THEN 'N/A' WHEN o_orderkey % 67 = 0 THEN 'ab' WHEN o_orderkey % 2 = 0 THEN concat('ITEM ', CAST(o_orderkey % 7 AS STRING)) ELSE concat(' Item ', CAST(o_orderkey % 7 AS STRING)) END AS nome,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' ELSE concat('Feito na hora ', o_orderpriority) END AS descricao,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' WHEN o_orderkey % 71 = 0 THEN 'sob consulta' WHEN o_orderkey % 11 = 0 THEN 'R$ 1.999,90' ELSE concat('R$ ', replace(CAST(CAST(o_totalprice AS DECIMAL(10,2)) AS STRING), '.', ',')) END AS preco,
+ concat('Item do dia R$ ', CAST(o_orderkey % 90 AS STRING), ',50 cada') AS item_txt
+FROM {orders}""",
     "known_products": """
-SELECT id, id % 100 AS restaurant_id, restaurant_name, CASE WHEN id % 2 = 0 THEN 'a' ELSE 'n ' END AS category,
- concat('Item ', CAST(id % 2000 AS STRING)) AS name, description, price, scraped_at
+SELECT id, restaurant_id, restaurant_name, CASE WHEN id % 3 = 0 THEN 'o' WHEN id % 3 = 1 THEN 'f ' ELSE 'P' END AS category,
+ concat('Item ', CAST(id % 7 AS STRING)) AS name, description, price, scraped_at
 FROM {products}""",
     "history": """
 SELECT event_id AS id, ts, concat('SELECT ', event_type, ' FROM user_', CAST(user_id AS STRING)) AS query,

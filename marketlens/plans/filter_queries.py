@@ -128,9 +128,9 @@ def _(t):
 
 @query(
     "f19_restaurants_by_category",
-    """SELECT category, part, COUNT(*) AS n, string_agg(concat(CAST(id AS VARCHAR), '=', name), ',' ORDER BY at) AS listed
-FROM (SELECT category, id, name, at, CAST(at // 1000 AS INT) AS part
- FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY name, id) - 1 AS at FROM {restaurants}) x) y
+    """SELECT category, part, COUNT(*) AS n, string_agg(concat(CAST(id AS VARCHAR), '=', name), ',' ORDER BY place) AS listed
+FROM (SELECT category, id, name, place, CAST(place // 1000 AS INT) AS part
+ FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY name, id) - 1 AS place FROM {restaurants}) x) y
 GROUP BY category, part""",
 )
 def _(t):

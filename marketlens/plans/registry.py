@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.plans.derived import DERIVED, RAW
 from marketlens.sources.tables import table
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 class Tables:

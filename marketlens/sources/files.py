@@ -12,16 +12,24 @@ CORRUPT = "_corrupt_record"
 
 # Quotes are doubled inside quoted fields, as CSV readers outside Spark expect.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# NULL is written as nothing and the empty text as "". A NULL mark no field can
+# hold keeps the two apart when they are read.
+CSV_READ_OPTIONS = CSV_OPTIONS | {"nullValue": "\u0001", "emptyValue": "", "enforceSchema": "false"}
+# Microseconds, which the default format of text files would cut off.
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 FORMATS = ("parquet", "orc", "json", "csv")
 
 
 def to_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS, **TIME_FORMATS).csv(path)
 
 
 def to_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line; fields that are NULL are written too."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    df.write.mode(mode).options(ignoreNullFields="false", **TIME_FORMATS).json(path)
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -58,9 +66,9 @@ def import_table(
         .option("multiLine", str(multi_line).lower())
     )
     if fmt == "csv":
-        # Named columns are matched by the explicit schema, so a header in
-        # another order is an error instead of silently swapped columns.
-        rows = reader.options(**CSV_OPTIONS).option("enforceSchema", "false").csv(path)
+        # The header is checked: columns in another order are an error instead
+        # of silently swapped.
+        rows = reader.options(**CSV_READ_OPTIONS).csv(path)
     else:
         rows = reader.json(path)
     rows = materialise(rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.schemas import QUERY_LOG
+from marketlens.sources.files import to_json
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -13,4 +14,4 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 def append_history(entries: DataFrame, path: str) -> None:
     """Add entries to the log; earlier files are not touched."""
-    entries.select(QUERY_LOG.fieldNames()).write.mode("append").json(path)
+    to_json(entries.select(QUERY_LOG.fieldNames()), path, mode="append")
