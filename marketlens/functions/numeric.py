@@ -6,23 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Ratings have one decimal: their totals are divided as whole tenths.
-TENTHS = 10
-
-
-def mean_of(total: Column, count: Column, unit: int = 1) -> Column:
+def mean_of(total: Column, count: Column) -> Column:
     """``total / count`` as a double, NULL for no rows.
 
     Totals of integers and decimals are exact, so the result is the same however
-    the rows were partitioned. ``unit`` makes the total a whole number, which
-    leaves the division as the only rounding.
+    the rows were partitioned.
     """
-    return F.try_divide((total * unit).cast("double"), (count * unit).cast("double"))
+    return F.try_divide(total.cast("double"), count.cast("double"))
 
 
-def exact_mean(value: Column, unit: int = 1) -> Column:
+def exact_mean(value: Column) -> Column:
     """Aggregate: mean of the non-null values of an integer or decimal column."""
-    return mean_of(F.sum(value), F.count(value), unit)
+    return mean_of(F.sum(value), F.count(value))
 
 
 def round_half_up(value: Column, digits: int) -> Column:

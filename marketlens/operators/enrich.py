@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numeric import TENTHS, exact_mean, percent, round_half_up
+from marketlens.functions.numeric import exact_mean, percent, round_half_up
 from marketlens.operators.lookup import lookup_join
 
 ENRICHED = ["rating", "delivery_time", "delivery_fee", "reviews", "min_order"]
@@ -20,12 +20,11 @@ ENRICHED = ["rating", "delivery_time", "delivery_fee", "reviews", "min_order"]
 
 @dataclass(frozen=True)
 class Fill:
-    """How one column is filled: decimals of the mean, type, default, unit the mean is formed in."""
+    """How one column is filled: decimals of the mean, type, default."""
 
     digits: int
     type_name: str
     default: str
-    unit: int = 1
 
     def shaped(self, mean: Column) -> Column:
         # No digits means the mean is cut to a whole number rather than rounded.
@@ -35,7 +34,7 @@ class Fill:
 
 # Rounding and default of each column.
 FILLS = {
-    "rating": Fill(1, "decimal(2,1)", "4.0", TENTHS),
+    "rating": Fill(1, "decimal(2,1)", "4.0"),
     "delivery_time": Fill(0, "int", "45"),
     "delivery_fee": Fill(2, "decimal(10,2)", "5.00"),
     "min_order": Fill(2, "decimal(10,2)", "25.00"),
@@ -57,7 +56,7 @@ def fill_means(restaurants: DataFrame, columns: list[str], key: str = "id") -> D
     means = (
         restaurants.where(F.col("category").isNotNull())
         .groupBy("category")
-        .agg(*[exact_mean(F.col(name), FILLS[name].unit).alias(f"_mean_{name}") for name in columns])
+        .agg(*[exact_mean(F.col(name)).alias(f"_mean_{name}") for name in columns])
     )
     filled = lookup_join(restaurants, means, "category", spread_by=key)
     updates = {}
@@ -66,7 +65,7 @@ def fill_means(restaurants: DataFrame, columns: list[str], key: str = "id") -> D
         fallbacks = [F.lit(fill.default).cast(fill.type_name)]
         if name == "rating":
             # Ratings fall back on the mean over all restaurants first.
-            overall = restaurants.agg(exact_mean(F.col(name), fill.unit)).scalar()
+            overall = restaurants.agg(exact_mean(F.col(name))).scalar()
             fallbacks.insert(0, fill.shaped(overall))
         updates[name] = F.coalesce(F.col(name), fill.shaped(F.col(f"_mean_{name}")), *fallbacks)
     return filled.withColumns(updates).select(restaurants.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numeric import TENTHS, mean_of, round_half_up
+from marketlens.functions.numeric import mean_of, round_half_up
 
 MONEY = "decimal(10,2)"
 
@@ -112,7 +112,7 @@ def category_analysis(restaurants: DataFrame, products: DataFrame) -> DataFrame:
             F.count("id").alias("total_restaurants"),
             F.coalesce(F.sum("n_products"), F.lit(0)).alias("total_products"),
             round_half_up(mean_of(F.sum("price_sum"), F.sum("n_priced")), 2).alias("avg_product_price"),
-            round_half_up(mean_of(F.sum(F.col("rating") * rated), F.sum(rated), TENTHS), 2).alias("avg_restaurant_rating"),
+            round_half_up(mean_of(F.sum(F.col("rating") * rated), F.sum(rated)), 2).alias("avg_restaurant_rating"),
         )
         .orderBy(F.desc("total_products"), F.asc_nulls_last("restaurant_category"))
     )

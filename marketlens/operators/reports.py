@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numeric import TENTHS, exact_mean, round_half_up
+from marketlens.functions.numeric import exact_mean, round_half_up
 
 MONEY = "decimal(10,2)"
 
@@ -27,7 +27,7 @@ def category_summary(restaurants: DataFrame) -> DataFrame:
         restaurants.groupBy("category")
         .agg(
             F.count(F.lit(1)).alias("total"),
-            exact_mean(F.col("rating"), TENTHS).alias("avg_rating"),
+            exact_mean(F.col("rating")).alias("avg_rating"),
             F.min("delivery_fee").alias("min_delivery"),
             F.max("delivery_fee").alias("max_delivery"),
         )
@@ -114,7 +114,7 @@ def rating_bands(restaurants: DataFrame) -> DataFrame:
         .groupBy(band.otherwise(LOWEST_BAND).alias("rating_category"))
         .agg(
             F.count(F.lit(1)).alias("total_restaurants"),
-            round_half_up(exact_mean(rating, TENTHS), 2).alias("avg_rating"),
+            round_half_up(exact_mean(rating), 2).alias("avg_rating"),
         )
         .orderBy(F.desc("avg_rating"))
     )
@@ -127,7 +127,7 @@ def category_counts(restaurants: DataFrame) -> DataFrame:
 def rating_stats(restaurants: DataFrame) -> DataFrame:
     rating = F.col("rating")
     return restaurants.where(rating.isNotNull()).agg(
-        exact_mean(rating, TENTHS).alias("avg_rating"),
+        exact_mean(rating).alias("avg_rating"),
         F.min(rating).alias("min_rating"),
         F.max(rating).alias("max_rating"),
     )

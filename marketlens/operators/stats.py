@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.functions.literals import days_before
-from marketlens.functions.numeric import TENTHS, exact_mean, mean_of, percent
+from marketlens.functions.numeric import exact_mean, mean_of, percent
 from marketlens.schemas import is_numeric, is_text
 
 
@@ -114,7 +114,7 @@ def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def restaurant_stats(restaurants: DataFrame) -> DataFrame:
     return restaurants.agg(
-        exact_mean(F.col("rating"), TENTHS).alias("avg_rating"),
+        exact_mean(F.col("rating")).alias("avg_rating"),
         F.count_distinct("city").alias("cities"),
         F.count_distinct("category").alias("categories"),
     )
