@@ -89,11 +89,12 @@ def parse_minutes(value: Column, fallback: Column | None = None) -> Column:
     """``a-b min`` to the floored middle, else ``a min``; ``fallback`` is only searched for a range."""
 
     def middle(text: Column) -> Column:
-        low = capture(text, MINUTES_RANGE, 1).try_cast("int")
-        high = capture(text, MINUTES_RANGE, 2).try_cast("int")
-        return F.floor((low + high) / 2).cast("int")
+        low = capture(text, MINUTES_RANGE, 1).try_cast("bigint")
+        high = capture(text, MINUTES_RANGE, 2).try_cast("bigint")
+        return F.floor((low + high) / 2).try_cast("int")
 
-    minutes = F.coalesce(middle(value), capture(value, MINUTES_SINGLE).try_cast("int"))
+    single = capture(value, MINUTES_SINGLE).try_cast("int")
+    minutes = F.when(capture(value, MINUTES_RANGE).isNotNull(), middle(value)).otherwise(single)
     return minutes if fallback is None else F.coalesce(minutes, middle(fallback))
 
 

@@ -13,7 +13,8 @@ from marketlens.functions.checks import is_valid
 from marketlens.functions.literals import days_before, typed
 from marketlens.functions.parse import strip
 from marketlens.operators.ingest import assign_ids
-from marketlens.operators.joins import reference_count
+from marketlens.operators.joins import orphan_keys, reference_count
+from marketlens.operators.lookup import lookup_join, small_copy
 
 # --- insert -----------------------------------------------------------------
 
@@ -105,18 +106,21 @@ def patch(df: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
 # --- delete -----------------------------------------------------------------
 
 
-def _without(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows for which the condition is false or unknown."""
-    return df.where(~F.coalesce(condition, F.lit(False)))
+def _without(df: DataFrame, column: str, value) -> DataFrame:
+    """Rows whose column differs from the value or is NULL, in a form the scan can use."""
+    if value is None:
+        # Nothing equals NULL.
+        return df
+    return df.where((F.col(column) != typed(df, column, value)) | F.col(column).isNull())
 
 
 def delete_by_id(df: DataFrame, row_id, key: str = "id") -> DataFrame:
-    return _without(df, _matches(df, key, row_id))
+    return _without(df, key, row_id)
 
 
 def delete_where(df: DataFrame, column: str, value) -> tuple[DataFrame, DataFrame]:
     """(remaining table, number of rows deleted)."""
-    return _without(df, _matches(df, column, value)), affected(df, column, value)
+    return _without(df, column, value), affected(df, column, value)
 
 
 def delete_all(df: DataFrame) -> DataFrame:
@@ -164,20 +168,15 @@ def delete_cascade(
     tables: Mapping[str, DataFrame], parent: str, keys: DataFrame | None = None, key: str = "id"
 ) -> dict[str, DataFrame]:
     """The tables without the parent rows in ``keys`` (default: all) and the rows that refer to them."""
-    doomed = (tables[parent] if keys is None else keys).select(key)
+    doomed = (tables[parent] if keys is None else keys).select(key).distinct()
+    small = small_copy(doomed)
     left = dict(tables)
-    for table, column in references(tables, parent):
-        left[table] = _drop_matching(tables[table], column, doomed, key)
-    left[parent] = _drop_matching(tables[parent], key, doomed, key)
+    for table, column in [*references(tables, parent), (parent, key)]:
+        # Rows that name no parent match nothing and stay.
+        left[table] = lookup_join(tables[table], doomed, column, key, "left_anti", small=small)
     return left
 
 
-def _drop_matching(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose column is not among the keys; NULLs stay and take no part in the shuffle."""
-    matched = df.where(F.col(column).isNotNull()).join(keys.select(F.col(key).alias(column)), column, "left_anti")
-    return matched.select(df.columns).unionByName(df.where(F.col(column).isNull()))
-
-
 # --- retention --------------------------------------------------------------
 
 # Columns a row's age is read from, in order of preference.
@@ -189,11 +188,10 @@ def retain(df: DataFrame, as_of: str, days: int = 30, columns: Sequence[str] = A
     usable = [name for name in columns if name in df.columns]
     if not usable:
         return df
-    return _without(df, F.col(usable[0]) < days_before(df, usable[0], as_of, days))
+    age = F.col(usable[0])
+    return df.where((age >= days_before(df, usable[0], as_of, days)) | age.isNull())
 
 
 def drop_orphans(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose parent exists, and rows that name none."""
-    parents = parent.select(F.col(key).alias(column))
-    kept = child.where(F.col(column).isNotNull()).join(parents, column, "left_semi")
-    return kept.select(child.columns).unionByName(child.where(F.col(column).isNull()))
+    return lookup_join(child, orphan_keys(child, column, parent, key), column, how="left_anti")

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numeric import exact_mean, percent, round_half_up
-from marketlens.operators.lookup import lookup_join
+from marketlens.functions.numeric import mean_of, percent, round_half_up
+from marketlens.operators.lookup import lookup_join, small_copy
 
 ENRICHED = ["rating", "delivery_time", "delivery_fee", "reviews", "min_order"]
 
@@ -51,23 +51,25 @@ def missing_analysis(restaurants: DataFrame) -> DataFrame:
     return long.withColumn("pct", percent(F.col("missing"), F.col("total")))
 
 
-def fill_means(restaurants: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+def fill_means(restaurants: DataFrame, columns: list[str]) -> DataFrame:
     """Fill the given columns from the means of their category."""
-    means = (
-        restaurants.where(F.col("category").isNotNull())
-        .groupBy("category")
-        .agg(*[exact_mean(F.col(name)).alias(f"_mean_{name}") for name in columns])
+    sums = restaurants.groupBy("category").agg(
+        *[F.sum(name).alias(f"_sum_{name}") for name in columns],
+        *[F.count(name).alias(f"_n_{name}") for name in columns],
     )
-    filled = lookup_join(restaurants, means, "category", spread_by=key)
+    small = small_copy(sums)
+    # Rows without category are in the overall mean, but equal no category here.
+    filled = lookup_join(restaurants, sums, "category", small=small)
     updates = {}
     for name in columns:
         fill = FILLS[name]
-        fallbacks = [F.lit(fill.default).cast(fill.type_name)]
+        total, count = F.col(f"_sum_{name}"), F.col(f"_n_{name}")
+        values = [F.col(name), fill.shaped(mean_of(total, count))]
         if name == "rating":
             # Ratings fall back on the mean over all restaurants first.
-            overall = restaurants.agg(exact_mean(F.col(name))).scalar()
-            fallbacks.insert(0, fill.shaped(overall))
-        updates[name] = F.coalesce(F.col(name), fill.shaped(F.col(f"_mean_{name}")), *fallbacks)
+            groups = sums if small is None else small
+            values.append(fill.shaped(groups.agg(mean_of(F.sum(total), F.sum(count))).scalar()))
+        updates[name] = F.coalesce(*values, F.lit(fill.default).cast(fill.type_name))
     return filled.withColumns(updates).select(restaurants.columns)
 
 

@@ -133,7 +133,7 @@ def restaurants_by_category(restaurants: DataFrame, block: int = 1000) -> DataFr
         "_at",
     )
     first = ordered.groupBy("category").agg(F.min("_at").alias("_first"))
-    placed = lookup_join(ordered, first, "category", spread_by="id", null_safe=True)
+    placed = lookup_join(ordered, first, "category", null_safe=True)
     part = F.floor((F.col("_at") - F.col("_first")) / block).cast("int")
     return (
         placed.withColumn("part", part)

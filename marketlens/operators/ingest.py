@@ -144,9 +144,11 @@ def new_rows(existing: DataFrame, batch: DataFrame, key: dict, required: Sequenc
     names = [f"_key{i}" for i in range(len(key))]
     values = [make(column) for column, make in key.items()]
     keyed = batch.where(_complete(required)).withColumns(dict(zip(names, values)))
-    # Rows with an incomplete key stand alone: each is its own group.
-    alone = F.when(~_complete(names), F.col("pos"))
-    firsts = first_per_key(keyed, [F.col(n) for n in names] + [alone], ["pos"])
+    groups = [F.col(n) for n in names]
+    if not set(key) <= set(required):
+        # Rows with an incomplete key stand alone: each is its own group.
+        groups.append(F.when(~_complete(names), F.col("pos")))
+    firsts = first_per_key(keyed, groups, ["pos"])
     # Distinct before the shuffle: the table's keys travel once per map task.
     known = existing.select([v.alias(n) for n, v in zip(names, values)]).distinct()
     return firsts.join(known, names, "left_anti").select(batch.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import mean_of, round_half_up
+from marketlens.operators.lookup import lookup_join
 
 MONEY = "decimal(10,2)"
 
@@ -159,12 +160,16 @@ def reference_count(child: DataFrame, column: str, parent: DataFrame, key: str =
     return per_key.join(parents, "_key", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("references"))
 
 
+def orphan_keys(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
+    """Distinct keys of the child that have no parent row, as ``column``."""
+    used = child.where(F.col(column).isNotNull()).select(column).distinct()
+    return used.join(parent.select(F.col(key).alias(column)), column, "left_anti")
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
     """Child rows whose key is set but has no parent row.
 
-    Only the join columns of the parent are shuffled; a frequent child key is
-    split over tasks by the adaptive skew join, which can divide the left side
-    of an anti join.
+    Only distinct keys are compared with the parent; the orphan keys, normally few,
+    then select the rows.
     """
-    parents = parent.select(F.col(key).alias(column))
-    return child.where(F.col(column).isNotNull()).join(parents, column, "left_anti").select(child.columns)
+    return lookup_join(child, orphan_keys(child, column, parent, key), column, how="left_semi")

@@ -1,4 +1,4 @@
-"""Joining one-row-per-key results back to a table whose keys may be skewed."""
+"""Joining a table, whose keys may be skewed, with one row per key."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ SALTS = 64
 def small_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
     """The frame as a local copy if it has at most ``max_rows`` rows, else None.
 
-    Never fetches more than ``max_rows + 1`` rows.
+    Runs the frame's plan. Never fetches more than ``max_rows + 1`` rows.
     """
     fetched = df.limit(max_rows + 1).toArrow()
     if fetched.num_rows > max_rows:
@@ -24,29 +24,31 @@ def small_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | Non
 def lookup_join(
     df: DataFrame,
     lookup: DataFrame,
-    key: str,
-    spread_by: str,
+    column: str,
+    key: str | None = None,
     how: str = "left",
     null_safe: bool = False,
+    small: DataFrame | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Add the lookup's columns to ``df``; ``lookup`` has one row per key.
+    """Join ``df`` with ``lookup``, which has one row per value of ``key`` (default: the same name).
 
-    A lookup measured small is broadcast and ``df`` is not shuffled. A larger one
-    is repeated over salts, and ``df`` takes its salt from the unique column
-    ``spread_by``: rows of one frequent key then meet the lookup in many tasks.
+    A lookup measured small (or given as ``small`` by a caller who has measured it)
+    is broadcast and ``df`` is not shuffled. A larger one is repeated over salts and
+    ``df`` takes a salt from each row's contents: rows of one frequent key then meet
+    their lookup row in many tasks. The lookup's key is not part of the result.
     """
-    small = small_copy(lookup, max_rows)
+    if small is None:
+        small = small_copy(lookup, max_rows)
     if small is not None:
-        other = F.broadcast(small.withColumnRenamed(key, "_key"))
-        salted = df
-        condition = None
+        other = F.broadcast(small.withColumnRenamed(key or column, "_key"))
+        salted, same_salt = df, F.lit(True)
     else:
-        other = lookup.withColumnRenamed(key, "_key").withColumn(
+        other = lookup.withColumnRenamed(key or column, "_key").withColumn(
             "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         )
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-        condition = F.col("_salt") == F.col("_copy")
-    same_key = F.col(key).eqNullSafe(F.col("_key")) if null_safe else F.col(key) == F.col("_key")
-    condition = same_key if condition is None else same_key & condition
-    return salted.join(other, condition, how).drop("_key", "_salt", "_copy")
+        contents = F.xxhash64(*[F.col(name) for name in df.columns])
+        salted = df.withColumn("_salt", F.pmod(contents, F.lit(SALTS)).cast("int"))
+        same_salt = F.col("_salt") == F.col("_copy")
+    same_key = F.col(column).eqNullSafe(F.col("_key")) if null_safe else F.col(column) == F.col("_key")
+    return salted.join(other, same_key & same_salt, how).drop("_key", "_salt", "_copy")

@@ -9,9 +9,9 @@ from marketlens.schemas import base_schemas, conform, table_def, template
 
 DISH_ROWS = table_def(
     [
-        ("id", "INTEGER", False, True),
+        ("id", "BIGINT", False, True),
         ("name", "VARCHAR", False, False),
-        ("restaurant_id", "INTEGER", True, False),
+        ("restaurant_id", "BIGINT", True, False),
         ("price", "DECIMAL", True, False),
         ("available", "BOOLEAN", True, False),
         ("valid_until", "DATE", True, False),
@@ -26,9 +26,9 @@ EXISTING_DISHES = """SELECT id, name, restaurant_id, price, id % 2 = 0 AS availa
 
 def _dishes(t):
     return t.products.select(
-        F.col("id").cast("int").alias("id"),
+        "id",
         "name",
-        F.col("restaurant_id").cast("int").alias("restaurant_id"),
+        "restaurant_id",
         "price",
         (F.col("id") % 2 == 0).alias("available"),
         F.col("scraped_at").cast("date").alias("valid_until"),
@@ -42,7 +42,7 @@ def _inserted(t):
 @query(
     "m1_insert",
     f"""{EXISTING_DISHES} UNION ALL SELECT row_number() OVER (ORDER BY pos) + (SELECT MAX(id) FROM {{products}}), name,
- CAST(restaurant_id AS INT), CAST(price AS DECIMAL(10,2)), lower(available) IN ('true', '1', 'sim', 's'), CAST(valid_until AS DATE)
+ CAST(restaurant_id AS BIGINT), CAST(price AS DECIMAL(10,2)), lower(available) IN ('true', '1', 'sim', 's'), CAST(valid_until AS DATE)
 FROM (SELECT * FROM {{typed_in}} WHERE {FITS}) v""",
 )
 def _(t):
@@ -172,7 +172,7 @@ def _(t):
 
 PART_TABLE = table_def(
     [
-        ("p_partkey", "INTEGER", False, True),
+        ("p_partkey", "BIGINT", False, True),
         ("p_name", "VARCHAR(255)", False, False),
         ("p_retailprice", "DECIMAL(10,2)", True, False),
         ("p_size", "TEXT", True, False),
@@ -184,7 +184,7 @@ PART_TABLE = table_def(
 
 @query(
     "d1_table_def",
-    """SELECT CAST(p_partkey AS INT) AS p_partkey, p_name, CAST(p_retailprice AS DECIMAL(10,2)) AS p_retailprice,
+    """SELECT p_partkey, p_name, CAST(p_retailprice AS DECIMAL(10,2)) AS p_retailprice,
  CAST(p_size AS VARCHAR) AS p_size, true AS in_stock, CAST(NULL AS DATE) AS listed_on FROM part""",
 )
 def _(t):
@@ -193,7 +193,7 @@ def _(t):
 
 @query(
     "d2_template",
-    f"""SELECT CAST(o_orderkey AS INT) AS id, CAST(o_custkey AS INT) AS usuario_id, CAST(o_totalprice AS DECIMAL(10,2)) AS total,
+    f"""SELECT o_orderkey AS id, o_custkey AS usuario_id, CAST(o_totalprice AS DECIMAL(10,2)) AS total,
  'pendente' AS status, CAST(NULL AS VARCHAR) AS endereco_entrega, CAST('{AS_OF}' AS TIMESTAMP) AS data_pedido FROM orders""",
 )
 def _(t):
@@ -204,7 +204,7 @@ def _(t):
 
 @query(
     "d3_base_schemas",
-    """SELECT CAST(id AS INT) AS id, CAST(restaurant_id AS INT) AS restaurant_id, name, description, price, category, true AS available
+    """SELECT id, restaurant_id, name, description, price, category, true AS available
 FROM {products}""",
 )
 def _(t):

@@ -40,18 +40,21 @@ SELECT CAST(row_number() OVER (ORDER BY c_mktsegment) AS INT) AS id, c_mktsegmen
  concat('https://example.com/', lower(c_mktsegment)) AS links,
  CAST('2024-01-15 00:00:00' AS TIMESTAMP) AS created_at
 FROM (SELECT DISTINCT c_mktsegment FROM {customer}) t""",
+    # Bad values, near-duplicate names, and exact copies of every 25th row.
     "restaurants_dirty": """
-SELECT id + k * 1000000 AS id, name, category, rating, delivery_time, delivery_fee, city, link, reviews, min_order, scraped_at
-FROM (SELECT id,
+WITH spoilt AS (SELECT id,
  CASE WHEN id % 50 = 3 THEN '' WHEN id % 20 = 0 THEN concat('  STORE ', CAST(id % 100 AS STRING)) WHEN id % 20 = 1 THEN concat('Store ', CAST((id - 1) % 100 AS STRING), ' ') ELSE name END AS name,
  category,
  CASE WHEN id % 97 = 5 THEN CAST(7.5 AS DECIMAL(2,1)) WHEN id % 101 = 5 THEN CAST(-1.0 AS DECIMAL(2,1)) ELSE rating END AS rating,
  delivery_time, CASE WHEN id % 89 = 7 THEN CAST(-1 AS DECIMAL(10,2)) ELSE delivery_fee END AS delivery_fee,
  city, link, reviews, min_order,
  CASE WHEN id % 83 = 0 THEN CAST('2099-01-01 00:00:00' AS TIMESTAMP) ELSE scraped_at END AS scraped_at
- FROM {restaurants}) d JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) m ON m.k = 0 OR d.id % 25 = 2""",
+ FROM {restaurants})
+SELECT id, name, category, rating, delivery_time, delivery_fee, city, link, reviews, min_order, scraped_at FROM spoilt
+UNION ALL
+SELECT id + 1000000000000, name, category, rating, delivery_time, delivery_fee, city, link, reviews, min_order, scraped_at FROM spoilt WHERE id % 25 = 2""",
     "products_dirty": """
-SELECT id, CASE WHEN id % 37 = 0 THEN restaurant_id + 1000000 WHEN id % 41 = 0 THEN NULL ELSE restaurant_id END AS restaurant_id,
+SELECT id, CASE WHEN id % 37 = 0 THEN restaurant_id + 1000000000000 WHEN id % 41 = 0 THEN NULL ELSE restaurant_id END AS restaurant_id,
  restaurant_name, category, name, description,
  CASE WHEN id % 61 = 0 THEN CAST(-1 AS DECIMAL(10,2)) ELSE price END AS price, scraped_at
 FROM {products}""",

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The column types a table definition may use.
+# The column types a table definition may use. BIGINT is ours, for
+# keys and references to them, which outgrow 32 bits in a large table.
 TYPES: dict[str, T.DataType] = {
+    "BIGINT": T.LongType(),
     "INTEGER": T.IntegerType(),
     "VARCHAR": T.StringType(),
     "DECIMAL": T.DecimalType(10, 2),
@@ -47,7 +49,7 @@ def table_def(columns: Iterable[tuple]) -> T.StructType:
 
 RESTAURANTS = table_def(
     [
-        ("id", "INTEGER", False, True),
+        ("id", "BIGINT", False, True),
         ("name", "VARCHAR", False, False),
         ("category", "VARCHAR", False, False),
         ("rating", "DECIMAL(2,1)", True, False),
@@ -63,8 +65,8 @@ RESTAURANTS = table_def(
 
 PRODUCTS = table_def(
     [
-        ("id", "INTEGER", False, True),
-        ("restaurant_id", "INTEGER", True, False),
+        ("id", "BIGINT", False, True),
+        ("restaurant_id", "BIGINT", True, False),
         ("restaurant_name", "VARCHAR", True, False),
         ("category", "VARCHAR", True, False),
         ("name", "VARCHAR", False, False),
@@ -76,7 +78,7 @@ PRODUCTS = table_def(
 
 CATEGORIES = table_def(
     [
-        ("id", "INTEGER", False, True),
+        ("id", "BIGINT", False, True),
         ("categorias", "VARCHAR", False, False),
         ("links", "VARCHAR", False, False),
         ("created_at", "TIMESTAMP", True, False, "current_timestamp"),
@@ -85,8 +87,8 @@ CATEGORIES = table_def(
 
 DISHES = table_def(
     [
-        ("id", "INTEGER", False, True),
-        ("restaurant_id", "INTEGER", True, False),
+        ("id", "BIGINT", False, True),
+        ("restaurant_id", "BIGINT", True, False),
         ("name", "VARCHAR", False, False),
         ("description", "TEXT", True, False),
         ("price", "DECIMAL", True, False),
@@ -97,8 +99,8 @@ DISHES = table_def(
 
 PROMOTIONS = table_def(
     [
-        ("id", "INTEGER", False, True),
-        ("restaurant_id", "INTEGER", True, False),
+        ("id", "BIGINT", False, True),
+        ("restaurant_id", "BIGINT", True, False),
         ("title", "VARCHAR", True, False),
         ("description", "TEXT", True, False),
         ("discount_percentage", "INTEGER", True, False),
@@ -108,7 +110,7 @@ PROMOTIONS = table_def(
 
 SCRAPING_LOGS = table_def(
     [
-        ("id", "INTEGER", False, True),
+        ("id", "BIGINT", False, True),
         ("timestamp", "TIMESTAMP", True, False, "current_timestamp"),
         ("city", "VARCHAR", True, False),
         ("status", "VARCHAR", True, False),
@@ -121,7 +123,7 @@ SCRAPING_LOGS = table_def(
 
 SCHEMA_VERSIONS = table_def(
     [
-        ("id", "INTEGER", False, True),
+        ("id", "BIGINT", False, True),
         ("version", "VARCHAR", False, False),
         ("description", "VARCHAR", True, False),
         ("applied_at", "TIMESTAMP", True, False, "current_timestamp"),
@@ -146,7 +148,7 @@ QUERY_LOG = T.StructType(
 TEMPLATES: dict[str, T.StructType] = {
     "produtos": table_def(
         [
-            ("id", "INTEGER", False, True),
+            ("id", "BIGINT", False, True),
             ("nome", "VARCHAR(255)", False, False),
             ("descricao", "TEXT", True, False),
             ("preco", "DECIMAL(10,2)", False, False),
@@ -157,7 +159,7 @@ TEMPLATES: dict[str, T.StructType] = {
     ),
     "usuarios": table_def(
         [
-            ("id", "INTEGER", False, True),
+            ("id", "BIGINT", False, True),
             ("nome", "VARCHAR(255)", False, False),
             ("email", "VARCHAR(255)", False, False),
             ("telefone", "VARCHAR(20)", True, False),
@@ -168,8 +170,8 @@ TEMPLATES: dict[str, T.StructType] = {
     ),
     "pedidos": table_def(
         [
-            ("id", "INTEGER", False, True),
-            ("usuario_id", "INTEGER", True, False),
+            ("id", "BIGINT", False, True),
+            ("usuario_id", "BIGINT", True, False),
             ("total", "DECIMAL(10,2)", False, False),
             ("status", "VARCHAR(50)", True, False, "pendente"),
             ("endereco_entrega", "TEXT", True, False),
@@ -178,7 +180,7 @@ TEMPLATES: dict[str, T.StructType] = {
     ),
     "logs_sistema": table_def(
         [
-            ("id", "INTEGER", False, True),
+            ("id", "BIGINT", False, True),
             ("nivel", "VARCHAR(20)", False, False),
             ("mensagem", "TEXT", False, False),
             ("modulo", "VARCHAR(100)", True, False),
