@@ -48,12 +48,16 @@ def strip(value: Column) -> Column:
 
 def known(value: Column) -> Column:
     """The text, or NULL when it is the not-found marker."""
-    return F.nullif(value, F.lit(MISSING))
+    return F.when(value != MISSING, value)
 
 
 def capture(value: Column, pattern: str, group: int = 1) -> Column:
-    """Group of the first match; NULL (not ``''``) when nothing matches."""
-    return F.nullif(F.regexp_extract(value, pattern, group), F.lit(""))
+    """Group of the first match; NULL when nothing matches.
+
+    NULL rather than ``''`` also spares the casts that follow: in ANSI mode a text
+    that is no number costs an exception, caught or not.
+    """
+    return F.try_element_at(F.regexp_extract_all(value, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 def number(value: Column, type_name: str) -> Column:
@@ -135,7 +139,8 @@ def parse_reviews(label: Column, whole_text: Column | None = None) -> Column:
 
 def parse_reviews_detail(value: Column) -> Column:
     """Review count of a detail page, where ``1.234`` and ``1,234`` mean 1234."""
-    return capture(F.translate(value, ".,", ""), FIRST_INTEGER).try_cast("int")
+    plain = F.replace(F.replace(value, F.lit("."), F.lit("")), F.lit(","), F.lit(""))
+    return capture(plain, FIRST_INTEGER).try_cast("int")
 
 
 def slug(value: Column) -> Column:

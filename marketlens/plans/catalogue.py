@@ -17,17 +17,12 @@ from marketlens.plans import (  # noqa: F401  (registration)
     stats_queries,
 )
 from marketlens.plans.registry import ORACLES, QUERIES, Tables
-from marketlens.session import SETTINGS
-
-
-def _prepare(spark: SparkSession) -> None:
-    # Timestamps are compared with UTC literals, whatever session we are given.
-    spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
+from marketlens.session import adopt
 
 
 def _callable(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        _prepare(spark)
+        adopt(spark)
         return build(Tables(spark, directory))
 
     return run
