@@ -51,18 +51,15 @@ def menu_size(restaurants: DataFrame, products: DataFrame, n: int = 20) -> DataF
 
 
 def top_items(restaurants: DataFrame, products: DataFrame) -> DataFrame:
-    """The most expensive product of every restaurant, all of them where prices tie.
-
-    The highest prices are joined back on restaurant and price together: the rows
-    of a large menu are spread by their prices.
-    """
+    """The most expensive product of every restaurant, all of them where prices tie."""
     priced = products.where(F.col("price").isNotNull() & F.col("restaurant_id").isNotNull())
-    highest = priced.groupBy("restaurant_id").agg(F.max("price").alias("price"))
+    highest = priced.groupBy("restaurant_id").agg(F.max("price").alias("_highest"))
     owners = restaurants.select(
         F.col("id").alias("restaurant_id"), F.col("name").alias("restaurant"), F.col("category")
     )
     items = priced.select("id", "restaurant_id", "price", F.col("name").alias("product"), "description")
-    return highest.join(owners, "restaurant_id").join(items, ["restaurant_id", "price"])
+    joined = lookup_join(items, highest.join(owners, "restaurant_id"), "restaurant_id", how="inner")
+    return joined.where("price = _highest").drop("_highest")
 
 
 def top_item_per_restaurant(restaurants: DataFrame, products: DataFrame, n: int = 15) -> DataFrame:

@@ -42,37 +42,43 @@ def describe(df: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*entries)))
 
 
-def _value_type(fields: list[T.StructField]) -> T.DataType:
-    """A type that holds all the columns: a decimal, whose sums are exact, where possible."""
-    decimals = [field.dataType.scale for field in fields if isinstance(field.dataType, T.DecimalType)]
-    exact = all(isinstance(field.dataType, (T.IntegralType, T.DecimalType)) for field in fields)
-    scale = max(decimals, default=0)
-    return T.DecimalType(22, scale) if exact and scale <= 3 else T.DoubleType()
+def _value_type(data_type: T.DataType) -> T.DataType:
+    """The type columns of this kind are profiled in, together where it is the same."""
+    return T.LongType() if isinstance(data_type, T.IntegralType) else data_type
 
 
-def numeric_profile(df: DataFrame) -> DataFrame:
-    """Smallest, largest, mean and number of distinct non-null values of each numeric column.
-
-    Columns are turned into (column, value) rows and counted per value first, with
-    partial counts in the map tasks, so all distinct counts take one scan and no
-    value, however frequent, is collected in one place.
-    """
-    fields = [field for field in df.schema.fields if is_numeric(field)]
-    value_type = _value_type(fields)
-    names = [field.name for field in fields]
+def _profile(df: DataFrame, names: list[str], value_type: T.DataType) -> DataFrame:
     values = df.select([F.col(name).cast(value_type).alias(name) for name in names]).unpivot(
         [], names, "column", "value"
     )
     counted = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    times = F.col("n") if isinstance(value_type, T.DoubleType) else F.col("n").cast("decimal(15,0)")
+    value, n = F.col("value"), F.col("n")
+    if isinstance(value_type, T.LongType):
+        value, n = value.cast("decimal(20,0)"), n.cast("decimal(18,0)")
+    elif isinstance(value_type, T.DecimalType):
+        n = n.cast("decimal(15,0)")
     return counted.groupBy("column").agg(
         F.min("value").cast("double").alias("min"),
         F.max("value").cast("double").alias("max"),
-        mean_of(F.sum(F.col("value") * times), F.sum("n")).alias("avg"),
+        mean_of(F.sum(value * n), F.sum("n")).alias("avg"),
         F.count(F.lit(1)).alias("distinct"),
     )
 
 
+def numeric_profile(df: DataFrame) -> DataFrame:
+    """Smallest, largest, mean and number of distinct non-null values of each numeric column.
+
+    Columns of one type are turned into (column, value) rows and counted per value
+    first, with partial counts in the map tasks: their distinct counts take one scan
+    of just these columns, and no value, however frequent, is collected in one place.
+    """
+    by_type: dict[T.DataType, list[str]] = {}
+    for field in df.schema.fields:
+        if is_numeric(field):
+            by_type.setdefault(_value_type(field.dataType), []).append(field.name)
+    return reduce(DataFrame.unionByName, [_profile(df, names, kind) for kind, names in by_type.items()])
+
+
 def text_profile(df: DataFrame) -> DataFrame:
     """Distinct values, rows, missing values and completeness of each text column; same plan as above."""
     names = [field.name for field in df.schema.fields if is_text(field)]

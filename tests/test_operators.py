@@ -33,37 +33,43 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_lookup_join_is_the_same_salted_and_broadcast(spark, skewed, how):
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_lookup_join_is_the_same_split_and_broadcast(spark, skewed, how, null_safe, monkeypatch):
     keys = spark.range(0, 400, 7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
-    small = lookup.lookup_join(skewed, keys, "key", "k", how)
-    large = lookup.lookup_join(skewed, keys, "key", "k", how, max_rows=3)
+    keys = keys.union(spark.sql("SELECT NULL, -1L"))
+    small = lookup.lookup_join(skewed, keys, "key", "k", how, null_safe)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
+    large = lookup.lookup_join(skewed, keys, "key", "k", how, null_safe)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert rows(small) == rows(large)
-    plain = skewed.join(keys, F.col("key") == F.col("k"), how).drop("k")
-    assert rows(large) == rows(plain)
+    same = F.col("key").eqNullSafe(F.col("k")) if null_safe else F.col("key") == F.col("k")
+    assert rows(large) == rows(skewed.join(keys, same, how).drop("k"))
 
 
-def test_salting_spreads_the_frequent_key(spark, skewed):
-    salted = skewed.where("key = 7").select(F.pmod(F.xxhash64("id", "key"), F.lit(lookup.SALTS)).alias("s"))
-    sizes = [r["count"] for r in salted.groupBy("s").count().collect()]
-    assert len(sizes) == lookup.SALTS and max(sizes) < 3 * sum(sizes) / len(sizes)
+def test_heavy_keys_are_few_and_complete(skewed, monkeypatch):
+    monkeypatch.setattr(lookup, "HEAVY_PART", 50)
+    assert lookup.heavy_keys(skewed, "key") == [7]
+    monkeypatch.setattr(lookup, "HEAVY_PART", 1)
+    assert lookup.heavy_keys(skewed, "key") == []
 
 
-def test_fill_all_is_the_same_without_broadcast(tables, monkeypatch):
-    expected = rows(enrich.fill_all(tables.restaurants))
-    monkeypatch.setattr(enrich, "small_copy", lambda df: None)
-    monkeypatch.setattr(lookup, "small_copy", lambda df, n: None)
-    assert rows(enrich.fill_all(tables.restaurants)) == expected
-
-
-def test_orphans_are_the_same_without_broadcast(tables, monkeypatch):
-    def both():
+def test_large_lookups_give_the_same_results(tables, monkeypatch):
+    def results():
         args = (tables.products_dirty, "restaurant_id", tables.restaurants)
-        return rows(joins.orphans(*args)), rows(changes.drop_orphans(*args))
-
-    expected = both()
-    monkeypatch.setattr(lookup, "small_copy", lambda df, n: None)
-    assert both() == expected
+        return [
+            rows(frame)
+            for frame in (
+                enrich.fill_all(tables.restaurants),
+                joins.orphans(*args),
+                changes.drop_orphans(*args),
+                joins.top_items(tables.restaurants, tables.products),
+                filters.restaurants_by_category(tables.restaurants, block=7),
+            )
+        ]
+
+    expected = results()
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
+    assert results() == expected
 
 
 def test_positions_are_dense_whatever_the_keys(spark, skewed):
