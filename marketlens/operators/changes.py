@@ -58,6 +58,63 @@ def insert(df: DataFrame, rows: DataFrame, schema: T.StructType, order: str, key
     return df.unionByName(added), checked.where(~accepted)
 
 
+# Example rows of five tables, by column.
+SAMPLES = {
+    "restaurants": (
+        ["name", "category", "rating", "delivery_time", "delivery_fee", "city"],
+        [
+            ["Burger King", "Fast Food", "4.2", "25", "5.99", "São Paulo"],
+            ["McDonald's", "Fast Food", "4.0", "20", "4.99", "São Paulo"],
+            ["Pizza Hut", "Pizza", "4.5", "35", "7.99", "Rio de Janeiro"],
+            ["Subway", "Sanduíches", "4.1", "15", "3.99", "São Paulo"],
+            ["KFC", "Fast Food", "4.3", "30", "6.99", "Rio de Janeiro"],
+        ],
+    ),
+    "dishes": (
+        ["restaurant_id", "name", "description", "price", "category", "available"],
+        [
+            ["1", "Big King", "Hambúrguer artesanal", "15.99", "Hambúrgueres", "true"],
+            ["1", "Batata Frita", "Batata sequinha", "8.99", "Acompanhamentos", "true"],
+            ["2", "Big Mac", "Hambúrguer clássico", "16.99", "Hambúrgueres", "true"],
+            ["3", "Pizza Pepperoni", "Pizza tradicional", "35.99", "Pizzas", "true"],
+            ["4", "Subway Frango", "Sanduíche de frango", "12.99", "Sanduíches", "true"],
+        ],
+    ),
+    "promotions": (
+        ["restaurant_id", "title", "description", "discount_percentage", "valid_until"],
+        [
+            ["1", "Desconto 20%", "20% off em hambúrgueres", "20", "2024-12-31"],
+            ["2", "Combo Família", "2 Big Mac + batatas", "15", "2024-12-25"],
+            ["3", "Pizza em Dobro", "Compre 1 leve 2", "50", "2024-12-30"],
+        ],
+    ),
+    "produtos": (
+        ["nome", "descricao", "preco", "categoria", "disponivel"],
+        [
+            ["iPhone 15", "Smartphone Apple", "4999.99", "Eletrônicos", "true"],
+            ["Samsung Galaxy", "Smartphone Samsung", "3499.99", "Eletrônicos", "true"],
+            ["Notebook Dell", "Laptop para trabalho", "2999.99", "Informática", "true"],
+        ],
+    ),
+    "usuarios": (
+        ["nome", "email", "telefone", "cidade", "ativo"],
+        [
+            ["João Silva", "joao@email.com", "(11)99999-9999", "São Paulo", "true"],
+            ["Maria Santos", "maria@email.com", "(21)88888-8888", "Rio de Janeiro", "true"],
+            ["Pedro Costa", "pedro@email.com", "(11)77777-7777", "São Paulo", "true"],
+        ],
+    ),
+}
+
+
+def insert_samples(df: DataFrame, name: str, schema: T.StructType) -> DataFrame:
+    """The table with the example rows of ``name`` added."""
+    columns, examples = SAMPLES[name]
+    listed = [[str(position), *row] for position, row in enumerate(examples)]
+    typed_in = df.sparkSession.createDataFrame(listed, ["_position", *columns])
+    return insert(df, typed_in, schema, "_position")[0]
+
+
 # --- update -----------------------------------------------------------------
 
 

@@ -12,8 +12,9 @@ from marketlens.operators.numbering import with_position
 
 
 def contains(df: DataFrame, column: str, text: str) -> DataFrame:
-    """Rows whose text contains ``text``, case-sensitive; ``%`` and ``_`` are wildcards."""
-    return df.where(F.col(column).like(f"%{text}%"))
+    """Rows whose text contains ``text``, case-sensitive; ``%`` and ``_`` are wildcards, a backslash is not."""
+    pattern = text.replace("\\", "\\\\")
+    return df.where(F.col(column).like(f"%{pattern}%"))
 
 
 def equals(df: DataFrame, column: str, value) -> DataFrame:

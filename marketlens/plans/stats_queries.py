@@ -119,10 +119,9 @@ def _(t):
 
 @query(
     "t8_dashboard",
-    """SELECT c.n AS categories, r.n AS restaurants, p.n AS products, c.n + r.n + p.n AS total, l.last_collected
-FROM (SELECT COUNT(*) AS n FROM {categories}) c, (SELECT COUNT(*) AS n FROM {restaurants}) r, (SELECT COUNT(*) AS n FROM {products}) p,
- (SELECT MAX(d) AS last_collected FROM (SELECT created_at AS d FROM {categories} UNION ALL SELECT scraped_at FROM {restaurants}
-  UNION ALL SELECT scraped_at FROM {products}) u) l""",
+    """SELECT c.n AS categories, r.n AS restaurants, p.n AS products, c.n + r.n + p.n AS total, GREATEST(c.d, r.d, p.d) AS last_collected
+FROM (SELECT COUNT(*) AS n, MAX(created_at) AS d FROM {categories}) c, (SELECT COUNT(*) AS n, MAX(scraped_at) AS d FROM {restaurants}) r,
+ (SELECT COUNT(*) AS n, MAX(scraped_at) AS d FROM {products}) p""",
 )
 def _(t):
     return stats.dashboard(t.categories, t.restaurants, t.products)

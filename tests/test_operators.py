@@ -350,3 +350,15 @@ def test_table_definitions():
     assert template("usuarios", "clientes") == ("clientes", TEMPLATES["usuarios"])
     assert set(base_schemas()) == {"categories", "restaurants", "products", "dishes", "promotions", "scraping_logs"}
     assert len(RESTAURANTS) == 11
+
+
+def test_samples_fit_their_tables(spark):
+    for name, (_, examples) in changes.SAMPLES.items():
+        schema = base_schemas().get(name) or TEMPLATES[name]
+        table = changes.insert_samples(spark.createDataFrame([], schema), name, schema)
+        assert [r["id"] for r in table.orderBy("id").collect()] == list(range(1, len(examples) + 1))
+
+
+def test_a_backslash_is_not_a_wildcard(spark):
+    frame = spark.createDataFrame([(r"a\%b",), ("a%b",)], "x string")
+    assert rows(filters.contains(frame, "x", "a\\")) == [(r"a\%b",)]
