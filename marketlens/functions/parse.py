@@ -1,7 +1,7 @@
 """Scraped text to typed values, one column expression per field.
 
-All are built-in expressions: they stay inside whole-stage codegen and can be
-used unchanged in batch and in streams. Text that does not parse becomes NULL.
+All are built-in expressions: no Python runs per row, and they can be used
+unchanged in batch and in streams. Text that does not parse becomes NULL.
 """
 
 from __future__ import annotations
