@@ -46,3 +46,9 @@ def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
         .select(*[F.col("doc_id") if name == "doc_id" else F.col(f"_row.{name}").alias(name) for name in columns])
     )
     return once.unionByName(repeated)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Bound what one Arrow batch hands to a Python worker, in rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

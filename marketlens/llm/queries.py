@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, fingerprints
+from marketlens.llm import exact_dedup, fingerprints, pii, simhash
 from marketlens.llm.common import read
 
 
@@ -41,5 +41,17 @@ def op9_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op9_exact_dedup": op9_exact_dedup}
+def op4_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    groups = simhash.near_groups(read(spark, directory, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
+    found = pii.find(read(spark, directory, "documents"))
+    counts = [pii.count_of(F.col("spans"), kind.name).alias(f"n_{kind.name}") for kind in pii.KINDS]
+    base = F.sha2(pii.joined(pii.base_only(F.col("spans"))), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_simhash_near_dedup": op4_simhash_near_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_pii": op10_pii}
 ORACLES = {"op9_exact_dedup": OP9_SQL}
