@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, fingerprints, pii, simhash
+from marketlens.llm import bpe, exact_dedup, fingerprints, id_files, packing, pii, simhash, token_counts
 from marketlens.llm.common import read
+from marketlens.sources.scratch import new_path
+
+# Tokens beyond which a document is marked.
+TOKEN_LIMIT = 4096
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
@@ -23,6 +34,20 @@ def op1_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(read(spark, directory, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode_ids(encoded, path)
+
+
+def op8_id_files(spark: SparkSession, directory: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    id_files.write_ids(read(spark, directory, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return id_files.read_ids(spark, path)
+
+
 OP9_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -41,6 +66,15 @@ def op9_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    counted = token_counts.token_counts(read(spark, directory, "documents"), vocabulary("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op3_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(read(spark, directory, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     groups = simhash.near_groups(read(spark, directory, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,5 +87,17 @@ def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_simhash_near_dedup": op4_simhash_near_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_pii": op10_pii}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_fingerprints,
+        op2_token_counts,
+        op3_best_fit_packing,
+        op4_simhash_near_dedup,
+        op5_bpe,
+        op8_id_files,
+        op9_exact_dedup,
+        op10_pii,
+    )
+}
 ORACLES = {"op9_exact_dedup": OP9_SQL}
