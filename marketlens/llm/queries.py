@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, exact_dedup, fingerprints, id_files, packing, pii, simhash, token_counts
+from marketlens.llm import bpe, exact_dedup, fingerprints, id_files, packing, pii, quality, simhash, token_counts, url_filter
 from marketlens.llm.common import read
 from marketlens.sources.scratch import new_path
 
@@ -42,6 +42,58 @@ def op5_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.decode_ids(encoded, path)
 
 
+def op6_url_filter(spark: SparkSession, directory: str) -> DataFrame:
+    judged = url_filter.judge(read(spark, directory, "pages"), read(spark, directory, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op6_level(level: str, prior: str) -> str:
+    """SQL for one level of the priors: its counts, the strength of its prior, its posterior means."""
+    low, high = url_filter.STRENGTH
+    return f"""
+{level}_counts AS (SELECT h.{level} AS k, sum(h.n) AS n, sum(h.good) AS good, any_value({prior}) AS prior FROM {level}_in h GROUP BY h.{level}),
+{level}_rho AS (SELECT (sum(n * (good / n - prior) * (good / n - prior)) - sum(prior * (1 - prior))) / sum((n - 1) * prior * (1 - prior)) AS rho
+ FROM {level}_counts WHERE n > 0),
+{level}_strength AS (SELECT CASE WHEN rho > 0 AND isfinite(rho) THEN least(greatest(1 / rho - 1, {low}), {high}) ELSE {high} END AS s FROM {level}_rho),
+{level}_mean AS (SELECT k, (good + s * prior) / (n + s) AS mean, n + s AS size FROM {level}_counts, {level}_strength)"""
+
+
+def _op6_sql() -> str:
+    rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+
+    def first(value) -> str:
+        tests = "".join(
+            f" WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{start}') THEN {value(verdict, of + start)}"
+            for verdict, of, start in rules
+        )
+        return f"CASE{tests} END"
+
+    return f"""
+WITH rest AS (SELECT page_id, coalesce({rest}, '') AS r FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+outcomes AS (SELECT doc_id, count(*) AS n, count(*) FILTER (quality = 1 AND coalesce(toxic, 0) <> 1) AS good
+ FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+hosts AS (SELECT p.host, CAST(sum(coalesce(o.n, 0)) AS DOUBLE) AS n, CAST(sum(coalesce(o.good, 0)) AS DOUBLE) AS good,
+ split_part(p.host, '.', -1) AS suffix,
+ CASE WHEN contains(p.host, '.') THEN concat(split_part(p.host, '.', -2), '.', split_part(p.host, '.', -1)) ELSE p.host END AS domain
+ FROM parsed p LEFT JOIN outcomes o ON o.doc_id = p.page_id GROUP BY p.host),
+everything AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS mean FROM hosts),
+suffix_in AS (SELECT hosts.*, mean AS above FROM hosts, everything),{_op6_level("suffix", "above")},
+domain_in AS (SELECT hosts.*, mean AS above FROM hosts JOIN suffix_mean ON k = hosts.suffix),{_op6_level("domain", "above")},
+host_in AS (SELECT hosts.*, mean AS above FROM hosts JOIN domain_mean ON k = hosts.domain),{_op6_level("host", "above")}
+SELECT page_id, host, path, {first(lambda verdict, rule: f"'{rule}'")} AS rule,
+ coalesce({first(lambda verdict, rule: f"'{verdict}'")},
+ CASE WHEN mean + {url_filter.DEVIATIONS} * sqrt(mean * (1 - mean) / (size + 1)) < {url_filter.MIN_GOOD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM parsed JOIN host_mean ON k = host"""
+
+
+def op7_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
+    scored = quality.score(read(spark, directory, "documents"))
+    return scored.select("doc_id", F.col("_score").alias("score"), F.col("_kept").alias("kept"))
+
+
 def op8_id_files(spark: SparkSession, directory: str) -> DataFrame:
     path = new_path(spark, "ids")
     id_files.write_ids(read(spark, directory, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -95,9 +147,11 @@ QUERIES = {
         op3_best_fit_packing,
         op4_simhash_near_dedup,
         op5_bpe,
+        op6_url_filter,
+        op7_quality_classifier,
         op8_id_files,
         op9_exact_dedup,
         op10_pii,
     )
 }
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+ORACLES = {"op6_url_filter": _op6_sql(), "op9_exact_dedup": OP9_SQL}
