@@ -54,7 +54,7 @@ def insert(df: DataFrame, rows: DataFrame, schema: T.StructType, order: str, key
         accepted = accepted & (usable | (value.isNull() & F.lit(field.nullable)))
         typed.append(parsed.alias(field.name))
     good = checked.where(accepted).select(typed)
-    added = assign_ids(good, df, order, key).select([F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+    added = assign_ids(good, df, (order,), key).select([F.col(f.name).cast(f.dataType) for f in df.schema.fields])
     return df.unionByName(added), checked.where(~accepted)
 
 

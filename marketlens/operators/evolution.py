@@ -50,7 +50,7 @@ def record(ledger: DataFrame, applied: DataFrame, as_of: str) -> DataFrame:
         F.lit(as_of).cast("timestamp").alias("applied_at"),
         F.md5(F.encode("text", "UTF-8")).alias("checksum"),
     )
-    numbered = assign_ids(rows, ledger, "version")
+    numbered = assign_ids(rows, ledger, ("version",))
     return ledger.unionByName(numbered.select([F.col(f.name).cast(f.dataType) for f in ledger.schema.fields]))
 
 

@@ -139,31 +139,37 @@ def _complete(columns: Sequence[str]) -> Column:
     return ok
 
 
-def new_rows(existing: DataFrame, batch: DataFrame, key: dict, required: Sequence[str]) -> DataFrame:
-    """Rows of the batch that are to be saved, without ids."""
+def new_rows(
+    existing: DataFrame, batch: DataFrame, key: dict, required: Sequence[str], order: Sequence[str] = ("pos",)
+) -> DataFrame:
+    """Rows of the batch that are to be saved, without ids; of equal keys the first in ``order``, which has no ties."""
     names = [f"_key{i}" for i in range(len(key))]
     values = [make(column) for column, make in key.items()]
     keyed = batch.where(_complete(required)).withColumns(dict(zip(names, values)))
-    groups = [F.col(n) for n in names]
-    if not set(key) <= set(required):
-        # Rows with an incomplete key stand alone: each is its own group.
-        groups.append(F.when(~_complete(names), F.col("pos")))
-    firsts = first_per_key(keyed, groups, ["pos"])
-    # Distinct before the shuffle: the table's keys travel once per map task.
-    known = existing.select([v.alias(n) for n, v in zip(names, values)]).distinct()
-    return firsts.join(known, names, "left_anti").select(batch.columns)
-
-
-def assign_ids(rows: DataFrame, existing: DataFrame, order: str = "pos", key: str = "id") -> DataFrame:
-    """Number rows in ``order``, continuing after the highest id of the table."""
+    firsts = first_per_key(keyed.where(_complete(names)), [F.col(n) for n in names], order)
+    known = existing.select([v.alias(n) for n, v in zip(names, values)])
+    # The table is reduced to the batch's keys first: a small batch is broadcast by its measured size and the table is
+    # not shuffled. Distinct then, so that a key travels once per map task.
+    known = known.join(firsts.select(names), names, "left_semi").distinct()
+    new = firsts.join(known, names, "left_anti").select(batch.columns)
+    if set(key) <= set(required):
+        return new
+    # Rows with an incomplete key match nothing and are always new: they never move.
+    return new.unionByName(keyed.where(~_complete(names)).select(batch.columns))
+
+
+def assign_ids(rows: DataFrame, existing: DataFrame, order: Sequence[str] = ("pos",), key: str = "id") -> DataFrame:
+    """Number rows in ``order`` (columns), continuing after the highest id of the table."""
     highest = existing.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
-    numbered = with_position(rows, [F.asc(order)], "_at")
+    numbered = with_position(rows, [F.asc(column) for column in order], "_at")
     kind = existing.schema[key].dataType
     return numbered.withColumn(key, (F.col("_at") + highest + 1).cast(kind)).drop("_at")
 
 
-def _insert(existing: DataFrame, batch: DataFrame, key: dict, required: Sequence[str]) -> DataFrame:
-    rows = assign_ids(new_rows(existing, batch, key, required), existing)
+def _insert(
+    existing: DataFrame, batch: DataFrame, key: dict, required: Sequence[str], order: Sequence[str] = ("pos",)
+) -> DataFrame:
+    rows = assign_ids(new_rows(existing, batch, key, required, order), existing, order)
     return rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in existing.schema.fields])
 
 
@@ -179,20 +185,22 @@ def insert_new_products(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return _insert(existing, batch, PRODUCT_KEY, PRODUCT_REQUIRED)
 
 
-def insert_new_categories(existing: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
-    """New categories of a link list (pos, nome, link), keyed by name."""
+def insert_new_categories(
+    existing: DataFrame, links: DataFrame, as_of: str, order: Sequence[str] = ("pos",)
+) -> DataFrame:
+    """New categories of a link list (nome, link and the columns of ``order``), keyed by name."""
     batch = links.select(
-        "pos",
+        *order,
         F.col("nome").alias("categorias"),
         F.col("link").alias("links"),
         F.lit(as_of).cast("timestamp").alias("created_at"),
     )
-    return _insert(existing, batch, CATEGORY_KEY, CATEGORY_REQUIRED)
+    return _insert(existing, batch, CATEGORY_KEY, CATEGORY_REQUIRED, order)
 
 
-def refresh(existing: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+def refresh(existing: DataFrame, links: DataFrame, as_of: str, order: Sequence[str] = ("pos",)) -> DataFrame:
     """The category table replaced by a link list, numbered from 1."""
-    return insert_new_categories(existing.limit(0), links, as_of)
+    return insert_new_categories(existing.limit(0), links, as_of, order)
 
 
 def label_rows(existing: DataFrame, batch: DataFrame, key: dict, required: Sequence[str]) -> DataFrame:

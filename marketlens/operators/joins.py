@@ -7,7 +7,7 @@ reaches the join as one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import mean_of, round_half_up
@@ -51,15 +51,18 @@ def menu_size(restaurants: DataFrame, products: DataFrame, n: int = 20) -> DataF
 
 
 def top_items(restaurants: DataFrame, products: DataFrame) -> DataFrame:
-    """The most expensive product of every restaurant, all of them where prices tie."""
+    """The most expensive product of every restaurant, all of them where prices tie.
+
+    Ranks are limited in the map tasks first, so the products of one restaurant do not gather,
+    and only the survivors meet the restaurants.
+    """
     priced = products.where(F.col("price").isNotNull() & F.col("restaurant_id").isNotNull())
-    highest = priced.groupBy("restaurant_id").agg(F.max("price").alias("_highest"))
+    rank = F.rank().over(Window.partitionBy("restaurant_id").orderBy(F.desc("price")))
     owners = restaurants.select(
         F.col("id").alias("restaurant_id"), F.col("name").alias("restaurant"), F.col("category")
     )
     items = priced.select("id", "restaurant_id", "price", F.col("name").alias("product"), "description")
-    joined = lookup_join(items, highest.join(owners, "restaurant_id"), "restaurant_id", how="inner")
-    return joined.where("price = _highest").drop("_highest")
+    return items.withColumn("_rank", rank).where("_rank = 1").drop("_rank").join(owners, "restaurant_id")
 
 
 def top_item_per_restaurant(restaurants: DataFrame, products: DataFrame, n: int = 15) -> DataFrame:

@@ -24,6 +24,7 @@ SELECT c.c_custkey AS id, c.c_name AS name, c.c_mktsegment AS category,
  CASE WHEN c.c_custkey % 6 = 0 THEN NULL ELSE CAST(10 + c.c_custkey % 40 AS DECIMAL(10,2)) END AS min_order,
  CAST(concat('2024-01-', lpad(CAST(1 + c.c_custkey % 28 AS STRING), 2, '0'), ' 00:00:00') AS TIMESTAMP) AS scraped_at
 FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
+    # Every order takes the part whose number is the rest of its own by the number of parts, so all parts are used.
     # Orders of every eighth customer count for the one before it, who thus owns
     # twice as many, and leave that customer without products.
     "products": """
@@ -32,9 +33,9 @@ SELECT o.o_orderkey AS id, c.c_custkey AS restaurant_id, c.c_name AS restaurant_
  CASE WHEN o.o_orderkey % 5 = 0 THEN NULL WHEN o.o_orderkey % 5 = 1 THEN '' ELSE p.p_brand END AS description,
  CASE WHEN o.o_orderkey % 17 = 0 THEN NULL ELSE CAST(o.o_totalprice AS DECIMAL(10,2)) END AS price,
  o.o_orderdate AS scraped_at
-FROM {orders} o
+FROM (SELECT *, o_orderkey % (SELECT MAX(p_partkey) + 1 FROM {part}) AS o_partkey FROM {orders}) o
  JOIN {customer} c ON c.c_custkey = CASE WHEN o.o_custkey % 8 = 7 THEN o.o_custkey - 1 ELSE o.o_custkey END
- JOIN {part} p ON p.p_partkey = o.o_orderkey % 200""",
+ JOIN {part} p ON p.p_partkey = o.o_partkey""",
     "categories": """
 SELECT CAST(row_number() OVER (ORDER BY c_mktsegment) AS INT) AS id, c_mktsegment AS categorias,
  concat('https://example.com/', lower(c_mktsegment)) AS links,

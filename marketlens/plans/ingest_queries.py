@@ -196,13 +196,13 @@ PARSED = f"""SELECT pos, nome AS name, categoria AS category,
  CAST('{AS_OF}' AS TIMESTAMP) AS scraped_at FROM {{staging}}"""
 
 
-def _new_sql(parsed: str, existing: str, keys: list[tuple[str, str]], columns: str) -> str:
+def _new_sql(parsed: str, existing: str, keys: list[tuple[str, str]], columns: str, order: str = "pos") -> str:
     """Rows that are the first of their key and not in the table, numbered after it."""
     partition = ", ".join(sql for _, sql in keys)
     complete = " AND ".join(f"{column} IS NOT NULL" for column, _ in keys)
     same = " AND ".join(f"{sql.replace(column, 'e.' + column)} = {sql.replace(column, 's.' + column)}" for column, sql in keys)
-    return f"""SELECT row_number() OVER (ORDER BY pos) + (SELECT MAX(id) FROM {{{existing}}}) AS id, {columns}
-FROM (SELECT *, row_number() OVER (PARTITION BY {partition}, CASE WHEN {complete} THEN -1 ELSE pos END ORDER BY pos) AS k FROM ({parsed}) q) s
+    return f"""SELECT row_number() OVER (ORDER BY {order}) + (SELECT MAX(id) FROM {{{existing}}}) AS id, {columns}
+FROM (SELECT *, row_number() OVER (PARTITION BY {partition}, CASE WHEN {complete} THEN -1 ELSE pos END ORDER BY {order}) AS k FROM ({parsed}) q) s
 WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM {{{existing}}} e WHERE {same})"""
 
 
@@ -237,19 +237,14 @@ def _(t):
     return ingest.insert_new_products(t.known_products, ingest.parse_products(t.product_staging, AS_OF))
 
 
-CATEGORY_BATCH = f"""SELECT page_id * 1000 + pos AS pos, nome AS categorias, link AS links, CAST('{AS_OF}' AS TIMESTAMP) AS created_at FROM ({CATEGORIES_SQL}) c"""
+CATEGORY_BATCH = f"""SELECT page_id, pos, nome AS categorias, link AS links, CAST('{AS_OF}' AS TIMESTAMP) AS created_at FROM ({CATEGORIES_SQL}) c"""
 CATEGORY_KEYS = [("categorias", "lower(trim(categorias))")]
 CATEGORY_COLUMNS = "categorias, links, created_at"
 
 
-def _category_batch(t):
-    # No page of the test tables has a thousand anchors, so this keeps their order.
-    return _category_links(t).withColumn("pos", F.col("page_id") * 1000 + F.col("pos"))
-
-
-@query("g15_insert_new_categories", _new_sql(CATEGORY_BATCH, "categories_dirty", CATEGORY_KEYS, CATEGORY_COLUMNS))
+@query("g15_insert_new_categories", _new_sql(CATEGORY_BATCH, "categories_dirty", CATEGORY_KEYS, CATEGORY_COLUMNS, "page_id, pos"))
 def _(t):
-    return ingest.insert_new_categories(t.categories_dirty, _category_batch(t), AS_OF)
+    return ingest.insert_new_categories(t.categories_dirty, _category_links(t), AS_OF, ("page_id", "pos"))
 
 
 @query(
@@ -274,11 +269,11 @@ def _(t):
 
 @query(
     "g18_refresh",
-    f"""SELECT row_number() OVER (ORDER BY pos) AS id, {CATEGORY_COLUMNS} FROM
-(SELECT *, row_number() OVER (PARTITION BY lower(trim(categorias)) ORDER BY pos) AS k FROM ({CATEGORY_BATCH}) b) s WHERE k = 1""",
+    f"""SELECT row_number() OVER (ORDER BY page_id, pos) AS id, {CATEGORY_COLUMNS} FROM
+(SELECT *, row_number() OVER (PARTITION BY lower(trim(categorias)) ORDER BY page_id, pos) AS k FROM ({CATEGORY_BATCH}) b) s WHERE k = 1""",
 )
 def _(t):
-    return ingest.refresh(t.categories_dirty, _category_batch(t), AS_OF)
+    return ingest.refresh(t.categories_dirty, _category_links(t), AS_OF, ("page_id", "pos"))
 
 
 @query("g19_stream_ingest", f"SELECT * FROM {{known_restaurants}} UNION ALL {NEW_RESTAURANTS}")

@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-# Paths written since each open scope began, innermost last.
-_SCOPES: list[list[str]] = []
+# Paths written since the innermost open scope of this thread began.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder nothing has been written to, owned by the innermost open scope."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
     return path
 
 
@@ -53,11 +55,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     Frames that read those tables must have been written or collected by then.
     """
     paths: list[str] = []
-    _SCOPES.append(paths)
+    token = _OWNED.set(paths)
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _OWNED.reset(token)
         for path in paths:
             delete(spark, path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from marketlens.sources.scratch import scratch_scope
+
 BATCH = "ingest_batch"
 SEED = -1
+# Marks in the output folder; readers of Parquet skip such names.
+SEEDED = "_ingest_seeded"
+OWNER = "_ingest_owner"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _mark(spark: SparkSession, path: str, text: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _claim(spark: SparkSession, out_dir: str, checkpoint: str) -> str | None:
+    """The stream that owns ``out_dir``, None if there is none yet; raises if it is not the checkpoint's."""
+    known = f"{checkpoint}/metadata"
+    mine = json.loads(spark.read.text(known).first()[0])["id"] if _exists(spark, known) else None
+    if not _exists(spark, f"{out_dir}/{OWNER}"):
+        # Begun but not marked, if the driver was lost right after the start.
+        if mine is None and _exists(spark, f"{out_dir}/{BATCH}=0"):
+            raise ValueError(f"{out_dir} holds batches that checkpoint {checkpoint} does not know")
+        return None
+    owner = spark.read.text(f"{out_dir}/{OWNER}").first()[0]
+    if owner != mine:
+        raise ValueError(f"{out_dir} holds batches that checkpoint {checkpoint} does not know")
+    return owner
 
 
 def table_so_far(spark: SparkSession, out_dir: str, schema: T.StructType, before: int | None = None) -> DataFrame:
@@ -39,26 +69,32 @@ def stream_ingest(
     ``insert_new_restaurants``. Each micro-batch writes one partition of ``out_dir``
     and reads only earlier ones: repeating a batch after a failure gives the same
     rows in the same place. ``existing`` is written as the first partition of a new
-    ``out_dir``; later calls find it there.
+    ``out_dir``; later calls find it there. An ``out_dir`` belongs to the checkpoint it was
+    begun with: with another or a new one, whose batches would be numbered from 0 again, the call raises.
     """
     schema = existing.schema
-    path = f"{out_dir}/{BATCH}={SEED}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
-        existing.write.mode("overwrite").parquet(path)
+    owner = _claim(spark, out_dir, checkpoint)
+    if owner is None and not _exists(spark, f"{out_dir}/{SEEDED}"):
+        existing.write.mode("overwrite").parquet(f"{out_dir}/{BATCH}={SEED}")
+        # Written when the seed is complete, and by us: not every committer leaves a mark of its own.
+        _mark(spark, f"{out_dir}/{SEEDED}", "seeded")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = table_so_far(session, out_dir, schema, before=batch_id)
-        insert(before, batch).write.mode("overwrite").parquet(f"{out_dir}/{BATCH}={batch_id}")
+        with scratch_scope(session):
+            insert(before, batch).write.mode("overwrite").parquet(f"{out_dir}/{BATCH}={batch_id}")
 
     reader = spark.readStream.schema(staging_schema)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return (
+    stream = (
         reader.parquet(in_dir)
         .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    if owner is None:
+        _mark(spark, f"{out_dir}/{OWNER}", stream.id)
+    return stream

@@ -101,10 +101,35 @@ def test_long_lists_are_split(spark):
 # --- pages ------------------------------------------------------------------
 
 
-def test_deep_pages_equal_shallow_ones(tables, monkeypatch):
-    expected = [tuple(r) for r in paging.page_ordered(tables.products, 4, 100, "price", "asc").collect()]
-    monkeypatch.setattr(paging, "TOP_K_OFFSET", 10)
-    assert [tuple(r) for r in paging.page_ordered(tables.products, 4, 100, "price", "asc").collect()] == expected
+def test_pages_at_any_offset(spark, tables):
+    ordered = sorted(
+        (tuple(r) for r in tables.products.select("price", "id").collect()), key=lambda r: (r[0] is None, r[0], r[1])
+    )
+    for number in (1, 4, 14):
+        page = paging.page_ordered(tables.products, number, 100, "price", "asc").select("price", "id")
+        assert [tuple(r) for r in page.collect()] == ordered[(number - 1) * 100 : number * 100]
+    numbers = spark.range(100_150)
+    for number in (1, 10_000, 10_001):
+        found = [r.id for r in paging.page(numbers, number, 10).collect()]
+        assert found == list(range((number - 1) * 10, number * 10))
+
+
+def test_top_items_limit_groups_before_the_shuffle(tables):
+    plan = joins.top_items(tables.restaurants, tables.products)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_products_use_every_part(tables):
+    assert tables.products.count() == tables.orders.count()
+    used = tables.products.select("category", F.regexp_replace("name", " [0-9]+$", "").alias("name")).distinct()
+    assert used.count() == tables.part.select("p_type", "p_name").distinct().count()
+
+
+def test_small_batch_leaves_the_table_in_place(spark):
+    existing = spark.createDataFrame([(i, f"n{i}") for i in range(1000)], "id long, categorias string")
+    batch = spark.createDataFrame([(1, 1, "n5"), (1, 2, "new"), (0, 2000, "new"), (2, 1, " NEW ")], "page_id int, pos int, categorias string")
+    fresh = ingest.new_rows(existing, batch, ingest.CATEGORY_KEY, ("categorias",), ("page_id", "pos"))
+    assert [tuple(r) for r in fresh.collect()] == [(0, 2000, "new")]
 
 
 def test_page_limits(tables):

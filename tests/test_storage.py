@@ -8,6 +8,7 @@ from marketlens.operators import ingest
 from marketlens.plans.registry import Tables
 from marketlens.sources import files, history, snapshots
 from marketlens.sources.tables import run_sql
+from marketlens.sources import scratch
 from marketlens.streaming.ingest import stream_ingest, table_so_far
 
 SMALL = "/root/testdata/sf0.001"
@@ -141,9 +142,53 @@ def test_stream_equals_batch(spark, tables, tmp_path):
 def test_repeated_micro_batch_changes_nothing(spark, tables, tmp_path):
     """A batch that is run again after its output was written gives the same table."""
     cards, known = tables.staging, tables.known_restaurants
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
     cards.coalesce(1).write.parquet(source)
-    for attempt in ("first", "second"):
-        # A new checkpoint makes the stream start over with batch 0.
-        stream_ingest(spark, source, out, str(tmp_path / attempt), cards.schema, known, _insert).awaitTermination()
+    for _ in range(2):
+        stream_ingest(spark, source, out, checkpoint, cards.schema, known, _insert).awaitTermination()
+        # As if the driver was lost before the batch was committed.
+        for name in ("0", ".0.crc"):
+            (tmp_path / "checkpoint" / "commits" / name).unlink()
     assert rows(table_so_far(spark, out, known.schema)) == rows(known.unionByName(_insert(known, cards)))
+
+
+def test_new_checkpoint_is_refused(spark, tables, tmp_path):
+    """With a fresh checkpoint batch 0 would overwrite one part of the table and leave the others."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    known, cards = tables.known_restaurants, tables.staging
+    cards.repartition(2).write.parquet(source)
+    old = str(tmp_path / "old")
+    stream_ingest(spark, source, out, old, cards.schema, known, _insert, max_files_per_trigger=1).awaitTermination()
+    expected = rows(table_so_far(spark, out, known.schema))
+    with pytest.raises(ValueError):
+        stream_ingest(spark, source, out, str(tmp_path / "new"), cards.schema, known, _insert)
+    stream_ingest(spark, source, out, old, cards.schema, known, _insert).awaitTermination()
+    assert rows(table_so_far(spark, out, known.schema)) == expected
+    assert len({row[0] for row in expected}) == len(expected)
+
+
+def test_scratch_tables_have_owners(spark, tmp_path):
+    with scratch.scratch_scope(spark):
+        table = scratch.materialise(spark.range(5))
+        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        assert table.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
