@@ -30,11 +30,17 @@ _LENGTHS = ((np.arange(256)[:, None] >> (2 * _WIDTHS)) & 3) + 1
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(codebook, control, data) of an array of unsigned ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if ids.size and ids.max() < 1 << 20:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        counts = counts[values]
+        at = ids
+    else:
+        values, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
-    rank_of = np.empty(len(order), dtype="<u4")
-    rank_of[order] = np.arange(len(order), dtype="<u4")
-    ranks = rank_of[inverse]
+    rank_of = np.zeros(values[-1] + 1 if at is ids and len(values) else len(values), dtype="<u4")
+    rank_of[values[order] if at is ids else order] = np.arange(len(order), dtype="<u4")
+    ranks = rank_of[at]
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     data = ranks.view(np.uint8).reshape(-1, 4)[_WIDTHS <= extra[:, None]]
     padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
@@ -49,10 +55,11 @@ def decode_ids(codebook: bytes, control: bytes, data: bytes, n: int) -> np.ndarr
     starts = np.cumsum(lengths) - lengths
     # Three bytes of padding let every gather read four.
     raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
-    ranks = np.zeros(n, dtype="<u4")
-    for width in range(4):
-        has = lengths > width if width else slice(None)
-        ranks[has] |= raw[starts[has] + width].astype("<u4") << np.uint32(8 * width)
+    ranks = raw[starts].astype("<u4")
+    longer = np.arange(n)
+    for width in range(1, 4):
+        longer = longer[lengths[longer] > width]
+        ranks[longer] |= raw[starts[longer] + width].astype("<u4") << np.uint32(8 * width)
     return np.frombuffer(codebook, dtype="<u4")[ranks]
 
 

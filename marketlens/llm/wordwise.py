@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-# Words remembered by a Python worker (some tens of MB); beyond that it starts afresh.
-MAX_WORDS = 300_000
-# Bytes of new words that are encoded at once.
-GROUP_BYTES = 1 << 18
+# Words remembered by a Python worker (some 200 MB); beyond that it starts afresh.
+MAX_WORDS = 1_000_000
+# Bytes of new words in one string, and strings encoded at once.
+GROUP_BYTES = 1 << 16
+GROUPS = 4
 _CUT = re.compile(r" (?=\S)")
+_MARKS = [".", ","]
 _NO_CUT = re.compile(r" (?!\S)")
 
 
@@ -34,42 +36,52 @@ class WordEncoder:
         self.sizes = sizes
         self.type = np.dtype("<u2") if len(sizes) <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        begin = 0
-        while begin < len(words):
-            end, size, ends = begin, 0, []
-            while end < len(words) and size < GROUP_BYTES:
-                size += 1 + len(words[end].encode("utf-8"))
-                ends.append(size)
-                end += 1
-            group = words[begin:end]
-            (ids,) = self.encode([" " + " ".join(group)])
-            array = np.asarray(ids, dtype=self.type)
-            covered = np.cumsum(self.sizes[array])
-            cuts = np.searchsorted(covered, ends) + 1
-            if not np.array_equal(covered[cuts - 1], ends):
-                raise ValueError("a token spans the start of a word")
-            raw, width = array.tobytes(), self.type.itemsize
-            start = 0
-            for word, cut in zip(group, cuts.tolist()):
-                self.known[word] = raw[start * width : cut * width]
-                start = cut
-            begin = end
+        # Marks that end many words; after a letter they are tokens of their own.
+        self.marks = dict(zip(_MARKS, self._bytes_of(_MARKS)))
+
+    def _bytes_of(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(ids, dtype=self.type).tobytes() for ids in self.encode(texts)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode new words, none empty or starting with white space."""
+        marked = [word for word in words if word[-1] in self.marks and word[-2:-1].isalpha()]
+        words = words.difference(marked).union(word[:-1] for word in marked).difference(self.known)
+        self._encode_words(list(words))
+        known, marks = self.known, self.marks
+        known.update([(word, known[word[:-1]] + marks[word[-1]]) for word in marked])
+
+    def _encode_words(self, words: list[str]) -> None:
+        sizes = [1 + (len(word) if word.isascii() else len(word.encode("utf-8"))) for word in words]
+        groups, begin, size = [], 0, 0
+        for end, more in enumerate(sizes, 1):
+            size += more
+            if size >= GROUP_BYTES or end == len(words):
+                groups.append((begin, end))
+                begin, size = end, 0
+        for at in range(0, len(groups), GROUPS):
+            some = groups[at : at + GROUPS]
+            encoded = self.encode([" " + " ".join(words[a:b]) for a, b in some])
+            for (a, b), ids in zip(some, encoded):
+                self._cut(words[a:b], np.cumsum(sizes[a:b]), np.asarray(ids, dtype=self.type))
+
+    def _cut(self, words: list[str], ends: np.ndarray, ids: np.ndarray) -> None:
+        covered = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(covered, ends) + 1
+        if not np.array_equal(covered[cuts - 1], ends):
+            raise ValueError("a token spans the start of a word")
+        raw, at = ids.tobytes(), [0, *(cuts * self.type.itemsize).tolist()]
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:]))))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
         split = [words_of(text) for text in texts]
+        firsts = [words.pop(0) for words in split]
         if len(self.known) > MAX_WORDS:
             self.known = {}
-        new = {word for words in split for word in words[1:]}.difference(self.known)
-        self._learn(sorted(new))
-        firsts = [words[0] for words in split]
-        heads = [np.asarray(ids, dtype=self.type).tobytes() for ids in self.encode(firsts)]
+        self._learn(set().union(*split).difference(self.known))
+        heads = self._bytes_of(firsts)
         get = self.known.__getitem__
-        return [
-            np.frombuffer(head + b"".join(map(get, words[1:])), dtype=self.type) for head, words in zip(heads, split)
-        ]
+        return [np.frombuffer(head + b"".join(map(get, words)), dtype=self.type) for head, words in zip(heads, split)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
