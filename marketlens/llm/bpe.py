@@ -12,6 +12,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,10 @@ class Merges:
             self.tokens[rank] = token
         self.first = [self.ranks[bytes([byte])] for byte in range(256)]
         ranks = self.ranks
+        # For the bytes that words begin as.
+        self.byte_pairs = {
+            (token[0], token[1]): rank for token, rank in ranks.items() if len(token) == 2
+        }
         self.pairs = {
             (ranks[token[:cut]], ranks[token[cut:]]): rank
             for token, rank in ranks.items()
@@ -41,8 +46,8 @@ class Merges:
         }
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of every word: of all pairs in a word the lowest rank merges first, of equal ones the leftmost."""
-        first, pairs = self.first, self.pairs
+        """The ids of every word: one that is a token is that token; else of all pairs in it the lowest rank merges first, of equal ones the leftmost."""
+        first, pairs, ranks = self.first, self.pairs, self.ranks
         ids: list[int] = []
         after: list[int] = []
         before: list[int] = []
@@ -50,56 +55,60 @@ class Merges:
         starts: list[int] = []
         index: dict[int, list[int]] = {}
         for number, word in enumerate(words):
-            start = len(ids)
+            start, n = len(ids), len(word)
             starts.append(start)
-            tokens = [first[byte] for byte in word]
-            n = len(tokens)
-            ids += tokens
+            if word in ranks:
+                ids.append(ranks[word])
+                owner.append(number)
+                after.append(-1)
+                before.append(-1)
+                continue
+            ids += map(first.__getitem__, word)
             owner += [number] * n
             after += range(start + 1, start + n + 1)
             before += range(start - 1, start + n - 1)
             if n:
                 after[-1] = before[start] = -1
-            for position, pair in enumerate(zip(tokens, tokens[1:]), start):
-                rank = pairs.get(pair)
+            for position, rank in enumerate(map(self.byte_pairs.get, zip(word, word[1:])), start):
                 if rank is not None:
-                    index.setdefault(rank, []).append(position)
+                    if rank in index:
+                        index[rank].append(position)
+                    else:
+                        index[rank] = [position]
         waiting = list(index)
         heapify(waiting)
-
-        def note(rank: int, position: int) -> None:
-            if rank in index:
-                index[rank].append(position)
-            else:
-                index[rank] = [position]
-                heappush(waiting, rank)
-
+        find = pairs.get
         while waiting:
             rank = heappop(waiting)
+            positions = index.pop(rank)
+            positions.sort()
             overtaken: set[int] = set()
-            for position in sorted(index.pop(rank)):
+            for position in positions:
                 follower = after[position]
-                if follower < 0 or ids[position] < 0 or pairs.get((ids[position], ids[follower])) != rank:
+                if follower < 0 or find((ids[position], ids[follower])) != rank:
                     continue
-                if owner[position] in overtaken:
-                    note(rank, position)
-                    continue
-                ids[position], ids[follower] = rank, -1
-                beyond, ahead = after[follower], before[position]
-                after[position] = beyond
-                if beyond >= 0:
-                    before[beyond] = position
-                    found = pairs.get((rank, ids[beyond]))
-                    if found is not None:
-                        note(found, position)
-                        if found <= rank:
-                            overtaken.add(owner[position])
-                if ahead >= 0:
-                    found = pairs.get((ids[ahead], rank))
+                if overtaken and owner[position] in overtaken:
+                    touched = ((rank, position),)
+                else:
+                    beyond, ahead = after[follower], before[position]
+                    ids[position], ids[follower] = rank, -1
+                    after[follower] = -1
+                    after[position] = beyond
+                    touched = ()
+                    if beyond >= 0:
+                        before[beyond] = position
+                        touched = ((find((rank, ids[beyond])), position),)
+                    if ahead >= 0:
+                        touched += ((find((ids[ahead], rank)), ahead),)
+                for found, at in touched:
                     if found is not None:
-                        note(found, ahead)
+                        if found in index:
+                            index[found].append(at)
+                        else:
+                            index[found] = [at]
+                            heappush(waiting, found)
                         if found <= rank:
-                            overtaken.add(owner[position])
+                            overtaken.add(owner[at])
         starts.append(len(ids))
         return [[i for i in ids[a:b] if i >= 0] for a, b in zip(starts, starts[1:])]
 
@@ -121,7 +130,7 @@ class PatternEncoder:
         new = list({word for words in found for word in words}.difference(self.known))
         self.known.update(zip(new, self.merges.replay([word.encode("utf-8") for word in new])))
         known = self.known
-        return [[i for word in words for i in known[word]] for words in found]
+        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in found]
 
 
 _ENCODERS: dict[tuple[str, str], tuple[Merges, WordEncoder]] = {}
