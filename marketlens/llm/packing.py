@@ -27,6 +27,8 @@ from marketlens.operators.numbering import with_position
 from marketlens.sources.scratch import materialise
 
 CAPACITY = 1024
+# Words a task remembers: fewer than elsewhere, as packing shares its workers with the stages of the pipeline.
+MAX_WORDS = 200_000
 END_ID = 2
 
 
@@ -76,11 +78,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     A document is its ids and ``end_id``. One longer than ``capacity`` is cut into pieces of that length, of which the first
     takes the rest and may be shorter. Null texts count as empty: the end id alone.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=200, size=4 << 20)
     end = np.asarray([end_id], dtype="<u4")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = json_encoder(vocabulary)
+        encoder.max_words = MAX_WORDS
         for batch in batches:
             rows = []
             for doc_id, missing, ids in zip(batch["doc_id"], batch["missing"], encoder(batch["text"].tolist())):
@@ -91,6 +94,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     rows.append((None if missing else doc_id, piece, a, b - a, zlib.crc32(whole[a:b].tobytes())))
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+        # The worker lives on for other stages, which need the memory.
+        encoder.known = {}
 
     doc_id = F.col("doc_id").cast("long")
     chosen = docs.select(

@@ -199,7 +199,8 @@ def fit(docs: DataFrame) -> tuple[LabelModel, Scorer]:
     bound = min(int(-(2**63) + share * 2**64), 2**63 - 1)
     chosen = docs.select(F.xxhash64("doc_id", text).alias("_hash"), text.alias("_text")).where(F.col("_hash") <= bound)
     sample = chosen.groupBy("_hash").agg(F.min("_text").alias("_text"))
-    soft = sample.withColumn("_pattern", _votes(F.col("_text"))).join(F.broadcast(known), "_pattern")
+    # Written before the vectors are made: two Python functions in one stage would take two workers per task.
+    soft = materialise(sample.withColumn("_pattern", _votes(F.col("_text")))).join(F.broadcast(known), "_pattern")
     # A soft label is two weighted rows.
     classes = F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("_good").alias("weight")),

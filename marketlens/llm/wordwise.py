@@ -34,6 +34,7 @@ class WordEncoder:
     def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], sizes: np.ndarray):
         self.encode = encode
         self.sizes = sizes
+        self.max_words = MAX_WORDS
         self.type = np.dtype("<u2") if len(sizes) <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         # Marks that end many words; after a letter they are tokens of their own.
@@ -76,7 +77,7 @@ class WordEncoder:
         """The ids of every text."""
         split = [words_of(text) for text in texts]
         firsts = [words.pop(0) for words in split]
-        if len(self.known) > MAX_WORDS:
+        if len(self.known) > self.max_words:
             self.known = {}
         self._learn(set().union(*split).difference(self.known))
         heads = self._bytes_of(firsts)
