@@ -119,9 +119,10 @@ def _(t):
 
 @query(
     "t8_dashboard",
-    """SELECT c.n AS categories, r.n AS restaurants, p.n AS products, c.n + r.n + p.n AS total, GREATEST(c.d, r.d, p.d) AS last_collected
-FROM (SELECT COUNT(*) AS n, MAX(created_at) AS d FROM {categories}) c, (SELECT COUNT(*) AS n, MAX(scraped_at) AS d FROM {restaurants}) r,
- (SELECT COUNT(*) AS n, MAX(scraped_at) AS d FROM {products}) p""",
+    """SELECT categories, restaurants, products, categories + restaurants + products AS total, last_collected FROM
+(SELECT (SELECT COUNT(*) FROM {categories}) AS categories, (SELECT COUNT(*) FROM {restaurants}) AS restaurants,
+ (SELECT COUNT(*) FROM {products}) AS products, (SELECT MAX(d) FROM (SELECT created_at AS d FROM {categories}
+ UNION ALL SELECT scraped_at FROM {restaurants} UNION ALL SELECT scraped_at FROM {products}) x) AS last_collected) y""",
 )
 def _(t):
     return stats.dashboard(t.categories, t.restaurants, t.products)
