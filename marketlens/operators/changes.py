@@ -14,7 +14,8 @@ from marketlens.functions.literals import days_before, typed
 from marketlens.functions.parse import strip
 from marketlens.operators.ingest import assign_ids
 from marketlens.operators.joins import orphan_keys, reference_count
-from marketlens.operators.lookup import lookup_join, small_copy
+from marketlens.operators.lookup import lookup_join
+from marketlens.sources.scratch import materialise
 
 # --- insert -----------------------------------------------------------------
 
@@ -225,12 +226,11 @@ def delete_cascade(
     tables: Mapping[str, DataFrame], parent: str, keys: DataFrame | None = None, key: str = "id"
 ) -> dict[str, DataFrame]:
     """The tables without the parent rows in ``keys`` (default: all) and the rows that refer to them."""
-    doomed = (tables[parent] if keys is None else keys).select(key).distinct()
-    small = small_copy(doomed)
+    doomed = materialise((tables[parent] if keys is None else keys).select(key).distinct())
     left = dict(tables)
     for table, column in [*references(tables, parent), (parent, key)]:
         # Rows that name no parent match nothing and stay.
-        left[table] = lookup_join(tables[table], doomed, column, key, "left_anti", small=small)
+        left[table] = lookup_join(tables[table], doomed, column, key, "left_anti", written=True)
     return left
 
 

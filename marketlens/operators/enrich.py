@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import mean_of, percent, round_half_up
-from marketlens.operators.lookup import lookup_join, small_copy
+from marketlens.operators.lookup import lookup_join
+from marketlens.sources.scratch import materialise
 
 ENRICHED = ["rating", "delivery_time", "delivery_fee", "reviews", "min_order"]
 
@@ -57,9 +58,10 @@ def fill_means(restaurants: DataFrame, columns: list[str]) -> DataFrame:
         *[F.sum(name).alias(f"_sum_{name}") for name in columns],
         *[F.count(name).alias(f"_n_{name}") for name in columns],
     )
-    small = small_copy(sums)
+    # One row per category, used by the join and the overall mean.
+    sums = materialise(sums)
     # Rows without category are in the overall mean, but equal no category here.
-    filled = lookup_join(restaurants, sums, "category", small=small)
+    filled = lookup_join(restaurants, sums, "category", written=True)
     updates = {}
     for name in columns:
         fill = FILLS[name]
@@ -67,8 +69,7 @@ def fill_means(restaurants: DataFrame, columns: list[str]) -> DataFrame:
         values = [F.col(name), fill.shaped(mean_of(total, count))]
         if name == "rating":
             # Ratings fall back on the mean over all restaurants first.
-            groups = sums if small is None else small
-            values.append(fill.shaped(groups.agg(mean_of(F.sum(total), F.sum(count))).scalar()))
+            values.append(fill.shaped(sums.agg(mean_of(F.sum(total), F.sum(count))).scalar()))
         updates[name] = F.coalesce(*values, F.lit(fill.default).cast(fill.type_name))
     return filled.withColumns(updates).select(restaurants.columns)
 

@@ -212,6 +212,20 @@ def label_rows(existing: DataFrame, batch: DataFrame, key: dict, required: Seque
     return batch.join(saved, "pos", "left").select(*batch.columns, outcome)
 
 
+def count_run(
+    existing: DataFrame, batch: DataFrame, key: dict, required: Sequence[str], order: Sequence[str] = ("pos",)
+) -> DataFrame:
+    """What ``run_counters`` says of the labelled batch, without labelling its rows: they are only counted."""
+    saved = new_rows(existing, batch, key, required, order).agg(F.count(F.lit(1))).scalar()
+    counted = batch.agg(F.count(F.lit(1)).alias("_total"), F.count_if(~_complete(required)).alias("errors"))
+    return counted.withColumn("saved", saved).select(
+        "saved",
+        (F.col("_total") - F.col("saved") - F.col("errors")).alias("duplicates"),
+        "errors",
+        F.coalesce(percent(F.col("saved"), F.col("_total")), F.lit(0.0)).alias("efficiency"),
+    )
+
+
 def run_counters(labelled: DataFrame) -> DataFrame:
     """Saved, duplicate and failed rows of a run, and saved rows in percent of all."""
 

@@ -2,35 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.sources.scratch import materialise
 
-# Rows up to which a lookup is copied to every executor: a few MB of keys and numbers.
-BROADCAST_ROWS = 50_000
-# A key is heavy from this part of all rows on, so there are at most that many.
-HEAVY_PART = 1_000
-
-
-def small_copy(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
-    """The frame as a local copy if it has at most ``max_rows`` rows, else None.
-
-    Runs the frame's plan. Never fetches more than ``max_rows + 1`` rows.
-    """
-    limit = BROADCAST_ROWS if max_rows is None else max_rows
-    fetched = df.limit(limit + 1).toArrow()
-    if fetched.num_rows > limit:
-        return None
-    return df.sparkSession.createDataFrame(fetched, schema=df.schema)
-
-
-def heavy_keys(df: DataFrame, column: str) -> list:
-    """Values that more than one in ``HEAVY_PART`` rows has, thus at most ``HEAVY_PART`` of them."""
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return [row[0] for row in counts.where(F.col("_n") * HEAVY_PART > rows).select(column).collect()]
-
 
 def lookup_join(
     df: DataFrame,
@@ -39,31 +15,14 @@ def lookup_join(
     key: str | None = None,
     how: str = "left",
     null_safe: bool = False,
-    small: DataFrame | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Join ``df`` with ``lookup``, which has one row per value of ``key`` (default: the same name).
 
-    A lookup measured small (or given as ``small`` by a caller who has measured it)
-    is broadcast and ``df`` is not shuffled. Of a larger one only the rows of the
-    heavy keys, whose number is bounded, are broadcast: rows with those keys, or
-    without a key, stay where they are, and the rest is joined by shuffle. The
-    lookup's key is not part of the result.
+    The lookup is written first, unless the caller has (``written``). So it is computed once, Spark
+    broadcasts it by its bytes on storage, and otherwise both sides are shuffled for this join alone, which lets
+    adaptive execution split the partitions of frequent keys. The lookup's key is not part of the result.
     """
-    if small is None:
-        small = small_copy(lookup)
-
-    def join(left: DataFrame, right: DataFrame) -> DataFrame:
-        same = F.col(column).eqNullSafe(F.col("_key")) if null_safe else F.col(column) == F.col("_key")
-        return left.join(right, same, how).drop("_key")
-
-    if small is not None:
-        return join(df, F.broadcast(small.withColumnRenamed(key or column, "_key")))
-    # Read twice below, so written once instead of being computed again.
-    keyed = materialise(lookup.withColumnRenamed(key or column, "_key"))
-    heavy = heavy_keys(df, column)
-
-    def stays(name: str) -> Column:
-        return F.col(name).isNull() | F.col(name).isin(heavy)
-
-    in_place = join(df.where(stays(column)), F.broadcast(keyed.where(stays("_key"))))
-    return in_place.unionByName(join(df.where(~stays(column)), keyed.where(~stays("_key"))))
+    keyed = (lookup if written else materialise(lookup)).withColumnRenamed(key or column, "_key")
+    same = F.col(column).eqNullSafe(F.col("_key")) if null_safe else F.col(column) == F.col("_key")
+    return df.join(keyed, same, how).drop("_key")

@@ -35,7 +35,8 @@ def log_stats(log: DataFrame) -> DataFrame:
     """Entries, successes, errors (with percentages) and execution times, in microseconds for an exact mean."""
     total = F.count(F.lit(1))
     good = F.count_if(F.col("status") == "success")
-    micros = F.round(F.col("execution_time") * 1_000_000).cast("bigint")
+    # Decimal, because a bigint sum of microseconds can overflow.
+    micros = F.round(F.col("execution_time") * 1_000_000).cast("decimal(20,0)")
     return log.agg(
         total.alias("total"),
         good.alias("successful"),

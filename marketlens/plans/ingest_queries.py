@@ -261,10 +261,7 @@ def _(t):
 (SELECT (SELECT COUNT(*) FROM ({NEW_RESTAURANTS}) n) AS saved, COUNT(*) AS total, COUNT(*) FILTER (nome IS NULL) AS errors FROM {{staging}}) x""",
 )
 def _(t):
-    labelled = ingest.label_rows(
-        t.known_restaurants, _parsed(t), ingest.RESTAURANT_KEY, ingest.RESTAURANT_REQUIRED
-    )
-    return ingest.run_counters(labelled)
+    return ingest.count_run(t.known_restaurants, _parsed(t), ingest.RESTAURANT_KEY, ingest.RESTAURANT_REQUIRED)
 
 
 @query(

@@ -70,10 +70,12 @@ def _(t):
 UNION ALL SELECT 'products', COUNT(*) FROM {products} UNION ALL SELECT 'categories', COUNT(*) FROM {categories}""",
 )
 def _(t):
-    entries = snapshots.snapshot(
-        _market(t), new_path(t.spark, "snapshots"), AS_OF, cluster_by={"products": "restaurant_id"}
-    )
-    return entries.select("table", "rows")
+    directory = new_path(t.spark, "snapshots")
+    entries = snapshots.snapshot(_market(t), directory, AS_OF, cluster_by={"products": "restaurant_id"})
+    # Bounded: one name for all entries.
+    broken = snapshots.verify(t.spark, directory, entries.first()["snapshot_id"])
+    # A table whose files do not match its entry would be missing.
+    return entries.join(broken, "table", "left_anti").select("table", "rows")
 
 
 @query("s10_restore", "SELECT * FROM {products}")

@@ -55,7 +55,7 @@ def snapshot(
     """Write all tables as a new snapshot; returns its catalogue entries.
 
     ``cluster_by`` names a column per table to range-partition and sort the files
-    by, so that later filters on it skip files.
+    by, so that later filters on it skip files; ``id`` follows it, so that a frequent value is spread over files.
     """
     snapshot_id = "".join(ch if ch.isalnum() else "-" for ch in f"{as_of}-{label}")
     spark = next(iter(tables.values())).sparkSession
@@ -63,7 +63,8 @@ def snapshot(
     for name, frame in tables.items():
         path = f"{directory}/data/{snapshot_id}/{name}"
         column = (cluster_by or {}).get(name)
-        written = frame if column is None else frame.repartitionByRange(column).sortWithinPartitions(column)
+        order = [] if column is None else list(dict.fromkeys([column, *({"id"} & set(frame.columns))]))
+        written = frame.repartitionByRange(*order).sortWithinPartitions(*order) if order else frame
         written.write.mode("errorifexists").parquet(path)
         # Counted from the files: what is recorded is what a restore will find.
         entries.append(

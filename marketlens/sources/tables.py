@@ -17,7 +17,21 @@ def tables(spark: SparkSession, directory: str, names: list[str]) -> dict[str, D
 
 
 def run_sql(spark: SparkSession, frames: Mapping[str, DataFrame], text: str) -> DataFrame:
-    """Any SQL query over the given tables; one trailing ``;`` is allowed."""
-    for name, frame in frames.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(text.strip().rstrip(";"))
+    """Any SQL query over the given tables; one trailing ``;`` is allowed.
+
+    The names are views only while the query is resolved; views of the session that have them come back after it.
+    """
+    catalog = spark.catalog
+    hidden = {
+        name: spark.table(name) for name in frames if catalog.tableExists(name) and catalog.getTable(name).isTemporary
+    }
+    try:
+        for name, frame in frames.items():
+            frame.createOrReplaceTempView(name)
+        return spark.sql(text.strip().removesuffix(";"))
+    finally:
+        for name in frames:
+            if name in hidden:
+                hidden[name].createOrReplaceTempView(name)
+            else:
+                catalog.dropTempView(name)

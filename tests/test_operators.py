@@ -1,14 +1,17 @@
 """Operators on small literal tables: rules the test tables do not reach."""
 
 import math
+import re
+from contextlib import contextmanager
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.operators import changes, enrich, evolution, filters, ingest, joins, lookup, numbering, paging, quality
+from marketlens.operators import changes, enrich, evolution, filters, ingest, joins, lookup, numbering, paging, quality, querylog
 from marketlens.plans.registry import Tables
 from marketlens.schemas import RESTAURANTS, TEMPLATES, base_schemas, conform, table_def, template
+from marketlens.sources.tables import run_sql
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,6 +28,16 @@ def rows(frame):
 # --- skew and size ----------------------------------------------------------
 
 
+@contextmanager
+def no_broadcast(spark):
+    """No side is small enough to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of all rows under one key, many with no key at all."""
@@ -34,26 +47,42 @@ def skewed(spark):
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("null_safe", [False, True])
-def test_lookup_join_is_the_same_split_and_broadcast(spark, skewed, how, null_safe, monkeypatch):
+def test_lookup_join_is_the_same_shuffled_and_broadcast(spark, skewed, how, null_safe):
     keys = spark.range(0, 400, 7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
     keys = keys.union(spark.sql("SELECT NULL, -1L"))
     small = lookup.lookup_join(skewed, keys, "key", "k", how, null_safe)
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
-    large = lookup.lookup_join(skewed, keys, "key", "k", how, null_safe)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert rows(small) == rows(large)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("FileScan") == 1
+    expected = rows(small)
+    with no_broadcast(spark):
+        large = lookup.lookup_join(skewed, keys, "key", "k", how, null_safe)
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("FileScan") == 1
+        assert rows(large) == expected
     same = F.col("key").eqNullSafe(F.col("k")) if null_safe else F.col("key") == F.col("k")
     assert rows(large) == rows(skewed.join(keys, same, how).drop("k"))
 
 
-def test_heavy_keys_are_few_and_complete(skewed, monkeypatch):
-    monkeypatch.setattr(lookup, "HEAVY_PART", 50)
-    assert lookup.heavy_keys(skewed, "key") == [7]
-    monkeypatch.setattr(lookup, "HEAVY_PART", 1)
-    assert lookup.heavy_keys(skewed, "key") == []
-
-
-def test_large_lookups_give_the_same_results(tables, monkeypatch):
+def test_frequent_keys_of_a_large_lookup_are_split(spark, skewed):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    keys = spark.range(0, 400, 7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
+    with no_broadcast(spark):
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        try:
+            joined = lookup.lookup_join(skewed.repartition(13), keys, "key", "k")
+            assert len(joined.collect()) == 20_000
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        finally:
+            for name in settings:
+                spark.conf.unset(name)
+
+
+def test_large_lookups_give_the_same_results(spark, tables):
     def results():
         args = (tables.products_dirty, "restaurant_id", tables.restaurants)
         return [
@@ -68,8 +97,8 @@ def test_large_lookups_give_the_same_results(tables, monkeypatch):
         ]
 
     expected = results()
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
-    assert results() == expected
+    with no_broadcast(spark):
+        assert results() == expected
 
 
 def test_positions_are_dense_whatever_the_keys(spark, skewed):
@@ -143,10 +172,35 @@ def test_page_limits(tables):
 
 
 def test_top_k_is_not_a_full_sort(tables):
-    for frame in (paging.latest(tables.products), paging.page(tables.products, 3), paging.page_after(tables.products, 5)):
+    for frame in (paging.latest(tables.products), paging.sample_rows(tables.products), paging.page_after(tables.products, 5)):
         assert "TakeOrderedAndProject" in frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pages_have_one_plan_at_every_offset(spark):
+    def shape(number):
+        plan = paging.page(spark.range(100_150), number, 10)._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"[+:]- (?:\*\(\d+\) )?(\w+)", plan)
+
+    assert shape(1) == shape(10_000) == shape(10_001) != []
+
+
+def test_views_of_the_session_outlive_a_query(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    frames = {"mine": spark.range(5), "other": spark.range(7)}
+    counted = run_sql(spark, frames, "SELECT (SELECT COUNT(*) FROM mine) AS a, (SELECT COUNT(*) FROM other) AS b;")
+    assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
+    assert tuple(counted.first()) == (5, 7)
+    with pytest.raises(Exception, match="nowhere"):
+        run_sql(spark, frames, "SELECT * FROM nowhere")
+    assert spark.table("mine").count() == 3
+    spark.catalog.dropTempView("mine")
+
+
+def test_time_sums_do_not_overflow(spark):
+    log = spark.sql("SELECT timestamp_ntz'2024-01-01' AS ts, 'success' AS status, 9e12D AS execution_time FROM range(4)")
+    assert querylog.log_stats(log).first()["avg_time"] == 9e12
+
+
 def test_filters_reach_the_scan(spark, tables):
     orders = tables.orders
     for frame, expected in [
@@ -274,6 +328,9 @@ def test_new_products_with_incomplete_keys_are_always_new(spark):
     }
     assert tuple(ingest.run_counters(labelled).first()) == (3, 2, 1, 50.0)
     assert tuple(ingest.run_counters(labelled.limit(0)).first()) == (0, 0, 0, 0.0)
+    for some, expected in [(batch, (3, 2, 1, 50.0)), (batch.limit(0), (0, 0, 0, 0.0))]:
+        counted = ingest.count_run(existing, some, ingest.PRODUCT_KEY, ingest.PRODUCT_REQUIRED)
+        assert tuple(counted.first()) == expected
 
 
 def test_inserting_twice_adds_nothing(tables):
