@@ -161,6 +161,11 @@ def patch(df: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     return df.join(renamed, key, "left").withColumns(changed).select(df.columns)
 
 
+def affected_by_patch(df: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+    """How many rows a patch touches: those whose key has an update."""
+    return df.select(key).join(updates.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("affected"))
+
+
 # --- delete -----------------------------------------------------------------
 
 
@@ -234,6 +239,25 @@ def delete_cascade(
     return left
 
 
+def _rows_with_keys(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """How many rows have one of ``keys``; rows are counted per key before they meet the keys."""
+    per_key = df.groupBy(F.col(column).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    found = per_key.join(keys.select(F.col(key).alias("_key")), "_key", "left_semi")
+    return found.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("affected"))
+
+
+def affected_by_cascade(
+    tables: Mapping[str, DataFrame], parent: str, keys: DataFrame | None = None, key: str = "id"
+) -> DataFrame:
+    """How many rows ``delete_cascade`` removes from each table it looks at."""
+    doomed = materialise((tables[parent] if keys is None else keys).select(key).distinct())
+    parts = [
+        _rows_with_keys(tables[table], column, doomed, key).select(F.lit(table).alias("table"), "affected")
+        for table, column in [*references(tables, parent), (parent, key)]
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- retention --------------------------------------------------------------
 
 # Columns a row's age is read from, in order of preference.
@@ -249,6 +273,18 @@ def retain(df: DataFrame, as_of: str, days: int = 30, columns: Sequence[str] = A
     return df.where((age >= days_before(df, usable[0], as_of, days)) | age.isNull())
 
 
+def affected_by_retention(df: DataFrame, as_of: str, days: int = 30, columns: Sequence[str] = AGE_COLUMNS) -> DataFrame:
+    """How many rows ``retain`` removes."""
+    usable = [name for name in columns if name in df.columns]
+    old = F.col(usable[0]) < days_before(df, usable[0], as_of, days) if usable else F.lit(False)
+    return df.where(old).agg(F.count(F.lit(1)).alias("affected"))
+
+
+def affected_by_orphans(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
+    """How many rows ``drop_orphans`` removes."""
+    return _rows_with_keys(child, column, orphan_keys(child, column, parent, key), column)
+
+
 def drop_orphans(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose parent exists, and rows that name none."""
     return lookup_join(child, orphan_keys(child, column, parent, key), column, how="left_anti")

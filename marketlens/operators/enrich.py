@@ -52,6 +52,11 @@ def missing_analysis(restaurants: DataFrame) -> DataFrame:
     return long.withColumn("pct", percent(F.col("missing"), F.col("total")))
 
 
+def filled_counts(restaurants: DataFrame) -> DataFrame:
+    """How many values ``fill_all`` fills in each column: every missing one, as there are defaults."""
+    return missing_analysis(restaurants).select("column", F.col("missing").alias("affected"))
+
+
 def fill_means(restaurants: DataFrame, columns: list[str]) -> DataFrame:
     """Fill the given columns from the means of their category."""
     sums = restaurants.groupBy("category").agg(

@@ -12,11 +12,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.functions.checks import is_missing, quality_band, quality_score
 from marketlens.functions.literals import typed
 from marketlens.functions.numeric import exact_mean, percent, round_half_up
-from marketlens.schemas import is_text
+from marketlens.schemas import base_schemas, is_text
 
 
 # --- duplicates -------------------------------------------------------------
@@ -134,18 +135,21 @@ def missing_rule(table: str, column: str) -> Rule:
     return Rule(table, f"missing_{column}", lambda df: is_missing(F.col(column), is_text(df.schema[column])))
 
 
-def default_rules(as_of: str) -> list[Rule]:
-    """Required columns, links, short names, the rating range and creation times."""
-    required = {
-        "categories": ["id", "categorias", "links"],
-        "restaurants": ["id", "name", "category", "city"],
-        "products": ["id", "name"],
-    }
-    rules = [missing_rule(table, column) for table, columns in required.items() for column in columns]
+def schema_rules(table: str, schema: T.StructType, as_of: str) -> list[Rule]:
+    """What a schema asks of any table: values in columns that are not nullable, no creation time to come."""
+    rules = [missing_rule(table, field.name) for field in schema.fields if not field.nullable]
+    if "created_at" in schema.fieldNames():
+        rules.append(Rule(table, "future_created_at", lambda df: after(df, "created_at", as_of)))
+    return rules
+
+
+def default_rules(as_of: str, schemas: Mapping[str, T.StructType] | None = None) -> list[Rule]:
+    """The rules of ``schemas`` (default: the canonical tables), links, short names and the rating range."""
+    chosen = base_schemas() if schemas is None else schemas
+    rules = [rule for table, schema in chosen.items() for rule in schema_rules(table, schema, as_of)]
     return rules + [
         Rule("categories", "bad_url", lambda df: bad_url("links")),
         Rule("categories", "short_name", lambda df: too_short("categorias", 2)),
-        Rule("categories", "future_created_at", lambda df: after(df, "created_at", as_of)),
         Rule("restaurants", "rating_out_of_range", lambda df: outside("rating", 0, 5)),
     ]
 

@@ -89,6 +89,11 @@ def _(t):
     return changes.patch(t.restaurants, t.extra_info)
 
 
+@query("m5_affected", "SELECT COUNT(*) AS affected FROM {restaurants} WHERE id IN (SELECT id FROM {extra_info})")
+def _(t):
+    return changes.affected_by_patch(t.restaurants, t.extra_info)
+
+
 @query("m6_delete_by_id", "SELECT * FROM {restaurants} WHERE id != 7")
 def _(t):
     return changes.delete_by_id(t.restaurants, 7)
@@ -152,6 +157,32 @@ def _(t):
     return _cascaded(t)["restaurants"]
 
 
+@query(
+    "m10_affected",
+    """SELECT 'restaurants' AS "table", COUNT(*) AS affected FROM {restaurants} WHERE rating IS NULL UNION ALL
+SELECT 'products', COUNT(*) FROM {products_dirty} WHERE restaurant_id IN (SELECT id FROM {restaurants} WHERE rating IS NULL)""",
+)
+def _(t):
+    tables = {"restaurants": t.restaurants, "products": t.products_dirty}
+    return changes.affected_by_cascade(tables, "restaurants", t.restaurants.where("rating IS NULL"))
+
+
+@query(
+    "m11_affected",
+    "SELECT COUNT(*) AS affected FROM {products} WHERE scraped_at < CAST('2001-07-01 00:00:00' AS TIMESTAMP) - INTERVAL 30 DAY",
+)
+def _(t):
+    return changes.affected_by_retention(t.products, "2001-07-01 00:00:00")
+
+
+@query(
+    "m12_affected",
+    "SELECT COUNT(*) AS affected FROM {products_dirty} WHERE restaurant_id NOT IN (SELECT id FROM {restaurants})",
+)
+def _(t):
+    return changes.affected_by_orphans(t.products_dirty, "restaurant_id", t.restaurants)
+
+
 @query(
     "m11_retain",
     "SELECT * FROM {products} WHERE scraped_at >= CAST('2001-07-01 00:00:00' AS TIMESTAMP) - INTERVAL 30 DAY OR scraped_at IS NULL",

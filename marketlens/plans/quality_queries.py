@@ -6,6 +6,7 @@ from marketlens.functions.checks import is_valid
 from marketlens.operators import enrich, quality
 from marketlens.plans.derived import AS_OF
 from marketlens.plans.registry import query
+from marketlens.schemas import DISHES, conform
 
 RESTAURANT_COLUMNS = "name, category, rating, delivery_time, delivery_fee, city, link, reviews, min_order, scraped_at"
 AS_OF_TS = f"CAST('{AS_OF}' AS TIMESTAMP)"
@@ -237,6 +238,16 @@ def _(t):
     return quality.validate(_dirty(t), quality.default_rules(AS_OF))
 
 
+@query(
+    "q16_validate_dishes",
+    """SELECT 'dishes' AS "table", 'missing_id' AS rule, COUNT(*) AS n, true AS counted FROM {products_dirty} WHERE id IS NULL
+UNION ALL SELECT 'dishes', 'missing_name', COUNT(*), true FROM {products_dirty} WHERE name IS NULL OR name = ''""",
+)
+def _(t):
+    dishes = conform(t.products_dirty, DISHES)
+    return quality.validate({"dishes": dishes}, quality.default_rules(AS_OF))
+
+
 @query(
     "q16_validation_totals",
     f'SELECT "table", CAST(SUM(n) AS BIGINT) AS issues FROM ({VALIDATE_SQL}) v WHERE counted GROUP BY ROLLUP ("table")',
@@ -297,6 +308,14 @@ def _(t):
     return enrich.missing_analysis(t.restaurants)
 
 
+@query(
+    "e7_affected",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) AS affected FROM {{restaurants}} WHERE {c} IS NULL" for c in enrich.ENRICHED),
+)
+def _(t):
+    return enrich.filled_counts(t.restaurants)
+
+
 @query("e2_fill_rating", _filled("rating"))
 def _(t):
     return enrich.fill_rating(t.restaurants)
