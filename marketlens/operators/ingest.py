@@ -60,7 +60,8 @@ def parse_products(staging: DataFrame, as_of: str) -> DataFrame:
 
 # --- categories from pages --------------------------------------------------
 
-ANCHOR = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
+# An address may stand in double quotes, in single ones or in none.
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref=(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
 TAG = r"(?s)<[^>]*>"
 
 
@@ -72,8 +73,9 @@ def extract_links(pages: DataFrame, base_url: str, marker: str = "/delivery/", m
     parts = found.select(
         "page_id",
         "pos",
-        F.regexp_extract("anchor", ANCHOR, 1).alias("href"),
-        F.regexp_replace(F.regexp_extract("anchor", ANCHOR, 2), TAG, "").alias("text"),
+        # Of the three groups all but one are empty.
+        F.concat(*[F.regexp_extract("anchor", ANCHOR, group) for group in (1, 2, 3)]).alias("href"),
+        F.regexp_replace(F.regexp_extract("anchor", ANCHOR, 4), TAG, "").alias("text"),
     )
     href = F.col("href")
     link = F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base_url), href))

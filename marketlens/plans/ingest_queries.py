@@ -9,6 +9,7 @@ from marketlens.plans.registry import query
 from marketlens.sources.scratch import new_path
 from marketlens.streaming.ingest import stream_ingest, table_so_far
 
+# The patterns and texts of this module are those the scraped pages are read by.
 NUMBER = r"'^[+-]?(\d+(\.\d*)?|\.\d+)$'"
 
 

@@ -133,6 +133,7 @@ def _(t):
     return quality.null_issues(t.restaurants_dirty)
 
 
+# The report's texts.
 RULES = {
     "categories": [],
     "products": [("price < 0", "preços negativos")],
@@ -169,6 +170,7 @@ FROM ("""
     + " UNION ALL ".join(_report_sql(name) for name in COLUMNS)
     + ") x"
 )
+# The bands of a score.
 BAND = "CASE WHEN {0} >= 90 THEN 'excellent' WHEN {0} >= 70 THEN 'good' ELSE 'low' END"
 
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.operators import changes, enrich, evolution, filters, ingest, joins, lookup, numbering, paging, quality, querylog
+from marketlens.operators import changes, enrich, evolution, filters, ingest, joins, lookup, numbering, paging, quality, querylog, reports
 from marketlens.plans.registry import Tables
 from marketlens.schemas import RESTAURANTS, TEMPLATES, base_schemas, conform, table_def, template
 from marketlens.sources.tables import run_sql
@@ -184,6 +184,39 @@ def test_pages_have_one_plan_at_every_offset(spark):
     assert shape(1) == shape(10_000) == shape(10_001) != []
 
 
+def test_reports_come_in_order(tables):
+    """By frame: columns its rows are sorted by, "-" before those in descending order. Later keys are not shown by all."""
+    r, p, history = tables.restaurants, tables.products, tables.history
+    frames = [
+        (reports.top_rated(r), "-rating name"),
+        (reports.category_summary(r), "-total category"),
+        (reports.priciest(p), "-price"),
+        (reports.price_by_category(p), "-avg_price category"),
+        (reports.rating_bands(r), "-avg_rating"),
+        (reports.collected_counts(tables.staging, "categoria"), "categoria"),
+        (joins.menu_size(r, p), "-total_products -rating"),
+        (joins.top_item_per_restaurant(r, p), "-price"),
+        (joins.with_products(r, p), "name id"),
+        (joins.category_analysis(r, p), "-total_products restaurant_category"),
+        (joins.price_matrix(r, p), "restaurant_category -avg_price product_category"),
+        (joins.missing_descriptions(r, p), "-products_without_description"),
+        (querylog.recent_queries(history), "-ts -id"),
+        (querylog.recent_errors(history), "ts id"),
+        (querylog.slowest(history), "-execution_time id"),
+        (querylog.search_log(history, "from"), "ts id"),
+    ]
+    for frame, keys in frames:
+        got = [row.asDict() for row in frame.collect()]
+        assert got
+        expected = got
+        # Stable sorts, least important key first; nulls are last.
+        for key in reversed(keys.split()):
+            name, falling = key.lstrip("-"), key[0] == "-"
+            known = sorted((row for row in expected if row[name] is not None), key=lambda row: row[name], reverse=falling)
+            expected = known + [row for row in expected if row[name] is None]
+        assert got == expected, keys
+
+
 def test_views_of_the_session_outlive_a_query(spark):
     spark.range(3).createOrReplaceTempView("mine")
     frames = {"mine": spark.range(5), "other": spark.range(7)}
@@ -346,13 +379,17 @@ def test_categories_from_anchors(spark):
     html = """<A class='x' HREF="/delivery/pizza"> <b>Pizza</b>
     </A><a href="https://e.org/delivery/2">Restaurante de comida muito boa</a><a href="/delivery/3">Burger da casa</a>
     <a href="/delivery/4">Um nome comprido demais aqui</a><a href="/delivery/5">ok</a><a href="/sobre">Sobre</a>
-    <a href="/delivery/6">Pizza</a><abbr href="/delivery/7">Nada</abbr>"""
+    <a href="/delivery/6">Pizza</a><abbr href="/delivery/7">Nada</abbr>
+    <a class="x" href='/delivery/8?q="a"'>Hamburguer da casa nova</a><a href=/delivery/9 class="y">Comida da casa nova</a>"""
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     links = ingest.extract_links(pages, "https://e.com")
     assert [(r["pos"], r["nome"]) for r in links.orderBy("pos").collect()] == [
         (0, "Pizza"), (1, "Restaurante de comida muito boa"), (2, "Burger da casa"), (3, "Um nome comprido demais aqui"), (6, "Pizza"),
+        (7, "Hamburguer da casa nova"), (8, "Comida da casa nova"),
     ]
-    chosen = ingest.filter_categories(links).orderBy("pos").collect()
+    found = {r["pos"]: r["link"] for r in links.collect()}
+    assert found[7] == 'https://e.com/delivery/8?q="a"' and found[8] == "https://e.com/delivery/9"
+    chosen = ingest.filter_categories(links.where("pos < 7")).orderBy("pos").collect()
     assert [(r["nome"], r["link"]) for r in chosen] == [
         ("Pizza", "https://e.com/delivery/pizza"), ("Restaurante de comida muito boa", "https://e.org/delivery/2"),
     ]
