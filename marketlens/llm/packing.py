@@ -27,8 +27,8 @@ from marketlens.operators.numbering import with_position
 from marketlens.sources.scratch import materialise
 
 CAPACITY = 1024
-# Words a task remembers: fewer than elsewhere, as packing shares its workers with the stages of the pipeline.
-MAX_WORDS = 200_000
+# Pieces of words a task remembers: fewer than elsewhere, as packing shares its workers with the stages of the pipeline.
+MAX_WORDS = 600_000
 END_ID = 2
 
 
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
         # The worker lives on for other stages, which need the memory.
-        encoder.known = {}
+        encoder.forget()
 
     doc_id = F.col("doc_id").cast("long")
     chosen = docs.select(

@@ -2,18 +2,20 @@
 
 A byte-level pattern always cuts before a space that a visible character follows, whatever
 stands before it. So a text is a sequence of such words, the ids of a text are the ids of its words one after another,
-and words seen before need no encoding. Distinct new words are encoded together, joined as
-they would stand in a text, and cut apart by the number of bytes each token covers.
+and words seen before need no encoding. The pattern also cuts on both sides of a line break between visible
+characters and before a mark that ends a word after a letter, so words are remembered in such pieces. Distinct new
+pieces are encoded together, joined as they would stand in a text, and cut apart by the number of bytes each token covers.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 import numpy as np
 
-# Words remembered by a Python worker (some 200 MB); beyond that it starts afresh.
+# Pieces of words remembered by a Python worker (some 200 MB); beyond that it starts afresh.
 MAX_WORDS = 1_000_000
 # Bytes of new words in one string, and strings encoded at once.
 GROUP_BYTES = 1 << 16
@@ -21,6 +23,7 @@ GROUPS = 4
 _CUT = re.compile(r" (?=\S)")
 _MARKS = [".", ","]
 _NO_CUT = re.compile(r" (?!\S)")
+_LINE = re.compile(r"(?<=\S)(?=\n\S)")
 
 
 def words_of(text: str) -> list[str]:
@@ -28,58 +31,91 @@ def words_of(text: str) -> list[str]:
     return _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
 
 
+def _ends_marked(piece: str) -> bool:
+    return piece[-1] in _MARKS and piece[-2:-1].isalpha()
+
+
+class _Pieces(dict):
+    """Ids, as bytes, of pieces by their text; words of several pieces are put together when asked for."""
+
+    def __init__(self, marks: dict[str, bytes]):
+        super().__init__()
+        self.marks = marks
+
+    def __missing__(self, word: str) -> bytes:
+        if "\n" in word and len(pieces := _LINE.split(word)) > 1:
+            return b"".join(map(self.__getitem__, pieces))
+        if _ends_marked(word):
+            return self[word[:-1]] + self.marks[word[-1]]
+        raise KeyError(word)
+
+
 class WordEncoder:
-    """Encodes texts by words; ``encode`` gives the ids of each of a list of texts, ``sizes`` the bytes of each id."""
+    """Encodes texts by words; ``encode`` gives the ids of each of a list of texts, ``sizes`` the bytes of each id.
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], sizes: np.ndarray):
+    ``special`` are strings that ``encode`` takes out of a text first; a text with one is encoded whole, as white space
+    before it is split differently.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], sizes: np.ndarray, special: Iterable[str] = ()):
         self.encode = encode
+        self.special = list(special)
         self.sizes = sizes
         self.max_words = MAX_WORDS
         self.type = np.dtype("<u2") if len(sizes) <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
         # Marks that end many words; after a letter they are tokens of their own.
         self.marks = dict(zip(_MARKS, self._bytes_of(_MARKS)))
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered pieces."""
+        self.known = _Pieces(self.marks)
 
     def _bytes_of(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(ids, dtype=self.type).tobytes() for ids in self.encode(texts)]
 
     def _learn(self, words: set[str]) -> None:
-        """Encode new words, none empty or starting with white space."""
-        marked = [word for word in words if word[-1] in self.marks and word[-2:-1].isalpha()]
-        words = words.difference(marked).union(word[:-1] for word in marked).difference(self.known)
-        self._encode_words(list(words))
-        known, marks = self.known, self.marks
-        known.update([(word, known[word[:-1]] + marks[word[-1]]) for word in marked])
-
-    def _encode_words(self, words: list[str]) -> None:
-        sizes = [1 + (len(word) if word.isascii() else len(word.encode("utf-8"))) for word in words]
+        """Encode the new pieces of words, none empty or starting with white space."""
+        lines = [word for word in words if "\n" in word]
+        pieces = words.difference(lines).union(*map(_LINE.split, lines))
+        marked = [piece for piece in pieces if _ends_marked(piece)]
+        new = pieces.difference(marked).union([piece[:-1] for piece in marked])
+        new = set(filterfalse(self.known.__contains__, new))
+        # Pieces that begin a line follow each other directly, others have a space before them.
+        after_break = [piece for piece in new if piece[0] == "\n"]
+        self._encode_pieces(after_break, "")
+        self._encode_pieces(list(new.difference(after_break)), " ")
+
+    def _encode_pieces(self, pieces: list[str], before: str) -> None:
+        sizes = [len(before) + (len(p) if p.isascii() else len(p.encode("utf-8"))) for p in pieces]
         groups, begin, size = [], 0, 0
         for end, more in enumerate(sizes, 1):
             size += more
-            if size >= GROUP_BYTES or end == len(words):
+            if size >= GROUP_BYTES or end == len(pieces):
                 groups.append((begin, end))
                 begin, size = end, 0
         for at in range(0, len(groups), GROUPS):
             some = groups[at : at + GROUPS]
-            encoded = self.encode([" " + " ".join(words[a:b]) for a, b in some])
+            encoded = self.encode([before + before.join(pieces[a:b]) for a, b in some])
             for (a, b), ids in zip(some, encoded):
-                self._cut(words[a:b], np.cumsum(sizes[a:b]), np.asarray(ids, dtype=self.type))
+                self._cut(pieces[a:b], np.cumsum(sizes[a:b]), np.asarray(ids, dtype=self.type))
 
-    def _cut(self, words: list[str], ends: np.ndarray, ids: np.ndarray) -> None:
+    def _cut(self, pieces: list[str], ends: np.ndarray, ids: np.ndarray) -> None:
         covered = np.cumsum(self.sizes[ids])
         cuts = np.searchsorted(covered, ends) + 1
         if not np.array_equal(covered[cuts - 1], ends):
-            raise ValueError("a token spans the start of a word")
+            raise ValueError("a token spans the start of a piece")
         raw, at = ids.tobytes(), [0, *(cuts * self.type.itemsize).tolist()]
-        self.known.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:]))))
+        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, at, at[1:]))))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        split = [words_of(text) for text in texts]
+        whole = [any(mark in text for mark in self.special) for text in texts]
+        split = [[text] if alone else words_of(text) for text, alone in zip(texts, whole)]
         firsts = [words.pop(0) for words in split]
         if len(self.known) > self.max_words:
-            self.known = {}
-        self._learn(set().union(*split).difference(self.known))
+            self.forget()
+        self._learn(set(filterfalse(self.known.__contains__, set().union(*split))))
         heads = self._bytes_of(firsts)
         get = self.known.__getitem__
         return [np.frombuffer(head + b"".join(map(get, words)), dtype=self.type) for head, words in zip(heads, split)]
@@ -97,12 +133,12 @@ def json_encoder(path: str) -> WordEncoder:
         before = tokenizer.pre_tokenizer
         if tokenizer.normalizer is not None or not isinstance(before, pre_tokenizers.ByteLevel) or before.add_prefix_space:
             raise ValueError("a plain byte-level vocabulary is needed")
-        added = {i: len(token.content.encode("utf-8")) for i, token in tokenizer.get_added_tokens_decoder().items()}
+        special = {i: token.content for i, token in tokenizer.get_added_tokens_decoder().items()}
         # A byte-level token has one character per byte.
-        sizes = [added.get(i, len(tokenizer.id_to_token(i) or "")) for i in range(tokenizer.get_vocab_size())]
+        sizes = [0 if i in special else len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())]
 
         def encode(texts: list[str]) -> list[list[int]]:
             return [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _ENCODERS[path] = WordEncoder(encode, np.asarray(sizes, dtype=np.int64))
+        _ENCODERS[path] = WordEncoder(encode, np.asarray(sizes, dtype=np.int64), special.values())
     return _ENCODERS[path]

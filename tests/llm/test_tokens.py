@@ -191,3 +191,20 @@ def test_best_fit_is_best_fit_decreasing():
                 at += length
             assert at <= capacity
         assert len(filled) == plain_best_fit(lengths, capacity)
+
+
+def test_pieces_of_words_give_the_ids_of_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from marketlens.llm.wordwise import json_encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), json_encoder(path)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "a", "é", "B.", "'s", ",", "1", "\x1c", "\x85", "　", "\t", "\r", "。", ". ", "|>", "a\nB", "x.\nY,", "\nQ."]
+    chosen = random.Random(7)
+    texts = ["".join(chosen.choices(parts, k=chosen.randint(0, 12))) for _ in range(5000)]
+    texts += ["a        <|endoftext|>b", "a\n\n<|endoftext|>", "r\n\n<|endoftext|>.\nB.", ""]
+    for text, ids in zip(texts, encoder(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
