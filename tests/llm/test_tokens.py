@@ -194,14 +194,7 @@ def test_best_fit_is_best_fit_decreasing():
 
 
 def test_pieces_of_words_give_the_ids_of_whole_texts():
-    import random
-
-    from tokenizers import Tokenizer
-
-    from marketlens.llm.wordwise import json_encoder
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    library, encoder = Tokenizer.from_file(path), json_encoder(path)
+    library, encoder = Tokenizer.from_file(JSON), wordwise.json_encoder(JSON)
     parts = ["<|endoftext|>", " ", "  ", "\n", "a", "é", "B.", "'s", ",", "1", "\x1c", "\x85", "　", "\t", "\r", "。", ". ", "|>", "a\nB", "x.\nY,", "\nQ."]
     chosen = random.Random(7)
     texts = ["".join(chosen.choices(parts, k=chosen.randint(0, 12))) for _ in range(5000)]
