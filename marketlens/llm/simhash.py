@@ -102,15 +102,14 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(labels, "fingerprint").select("doc_id", "fingerprint", "root", "component_id", "text_key")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row per group of near copies, the one with the smallest doc_id; columns unchanged.
+def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row per group (doc_id, root, component_id, text_key), the one with the smallest doc_id; columns unchanged.
 
     Of several texts under that doc_id the one with the smallest hash stays, of repeated
     rows the one with the smallest other columns.
     """
     kept = (
-        near_groups(docs, radius)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "doc_id", "text_key")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .groupBy("root", "doc_id")
@@ -118,3 +117,8 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         .select("doc_id", "_best.*")
     )
     return keep_rows(docs, F.xxhash64(whole_text()), kept)
+
+
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row per group of near copies by fingerprint, the one with the smallest doc_id; columns unchanged."""
+    return keep_smallest(docs, near_groups(docs, radius))
