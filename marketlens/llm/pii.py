@@ -23,10 +23,35 @@ _BLOCK = 64
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 
+# Lengths of account numbers by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """The first letter of a possible account number; all of the number, by a look ahead, is group 1.
+
+    Only the letter is taken, so that a number is also found inside or behind what looks like one and is none. The
+    length is that of the country. For countries that are not in the registry it is that of the whole run.
+    """
+    each = [
+        rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}+"
+        for length, countries in IBAN_LENGTHS.items()
+    ]
+    other = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?=((?:{'|'.join([*each, other])})(?![A-Za-z0-9])))[A-Z]"
+
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of data: ``possible`` is a cheap test whether a text can hold any."""
+    """A kind of data: ``possible`` is a cheap test whether a text can hold any.
+
+    With ``ahead`` the pattern takes one character, and its group 1 is the match.
+    """
 
     name: str
     pattern: str
@@ -34,6 +59,7 @@ class Kind:
     score: float
     context: str
     base: bool
+    ahead: bool = False
 
 
 # Kinds in the order of the output; those that are not base are additions of this method.
@@ -42,7 +68,7 @@ KINDS = (
     Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", 0.6, "ip|address|host|server|login", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){13}", 0.9, "card|visa|credit|pay|carte|tarjeta|karte", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "call|phone|tel|fax|mobil", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|konto|compte|cuenta|bank", False),
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|konto|compte|cuenta|bank", False, ahead=True),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social security|taxpayer", False),
 )
 
@@ -117,18 +143,22 @@ _SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
 
 
 def _spans_of(text: Column, number: int, kind: Kind) -> Column:
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(int(kind.ahead)))
     pieces = F.split(text, kind.pattern, -1)
 
     def placed(found: Column) -> Column:
+        def taken(match: Column) -> Column:
+            return F.lit(1) if kind.ahead else F.length(match)
+
         lengths = F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(found)), found, lambda piece, match: F.length(piece) + F.length(match)
+            F.slice(pieces, F.lit(1), F.size(found)), found, lambda piece, match: F.length(piece) + taken(match)
         )
-        pairs = F.arrays_zip(found.alias("match"), _running_sums(lengths).alias("end"))
+        pairs = F.arrays_zip(found.alias("match"), _running_sums(lengths).alias("upto"))
 
         def span(pair: Column) -> Column:
-            match, end = pair.getField("match"), pair.getField("end")
-            start = end - F.length(match)
+            match = pair.getField("match")
+            start = pair.getField("upto") - taken(match)
+            end = start + F.length(match)
             ahead = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
             bonus = F.when(F.lower(ahead).rlike(rf"\b(?:{kind.context})"), CONTEXT_BONUS).otherwise(0.0)
             score = F.when(_confirmed(kind, match), F.least(F.lit(1.0), kind.score + bonus)).otherwise(0.0)
@@ -145,7 +175,7 @@ def spans(text: Column) -> Column:
     """All spans of a text by start, then kind: array of (start, kind, end, score).
 
     Positions are code points, the end exclusive; ``kind`` is the place in ``KINDS``. Of each kind the matches are
-    the leftmost ones that do not overlap; matches that fail their check are dropped and not tried
+    the leftmost ones that do not overlap (account numbers may); matches that fail their check are dropped and not tried
     again. Base kinds that pass are always kept; the others need ``MIN_SCORE`` with their context.
     Null and empty texts have none.
     """
