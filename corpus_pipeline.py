@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import exact_dedup, near_copies as resembling, packing, pii, quality
+from marketlens.llm import exact_dedup, packing, pii, quality, simhash
 from marketlens.llm.common import read
 from marketlens.llm.queries import vocabulary
 from marketlens.sources.scratch import new_path
@@ -25,8 +25,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per group of near copies (five-word shingles, Jaccard similarity from 0.8), the one with the smallest doc_id."""
-    return resembling.drop_near_copies(docs)
+    """One document per group of near copies (fingerprints within 2 bits, as in op4), the one with the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
