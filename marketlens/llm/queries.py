@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, exact_dedup, fingerprints, id_files, packing, pii, quality, simhash, token_counts, url_filter
+from marketlens.llm import (
+    bpe,
+    clusters,
+    divergence,
+    exact_dedup,
+    extraction,
+    fingerprints,
+    id_files,
+    packing,
+    pii,
+    quality,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from marketlens.llm.common import read
 from marketlens.sources.scratch import new_path
 
@@ -139,6 +153,68 @@ def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, directory: str) -> DataFrame:
+    return divergence.audit(read(spark, directory, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM d),
+w AS (SELECT r, lang, source, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM words),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang
+ LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s)::HUGEINT AS p
+ FROM cells WINDOW s AS (PARTITION BY lang, source)),
+totals AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s)::HUGEINT AS q
+ FROM totals WINDOW s AS (PARTITION BY lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+ WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+def op12_centroid_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.cluster(read(spark, directory, "embeddings")))
+
+
+def _op12_sql() -> str:
+    def assigned(i: int) -> str:
+        return f"""
+near{i} AS (SELECT c.r, m.k, sum((c.x - m.x) * (c.x - m.x)) AS distance FROM c JOIN m{i} m ON m.d = c.d GROUP BY c.r, m.k),
+best{i} AS (SELECT r, k, distance FROM near{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, k) = 1)"""
+
+    def moved(i: int) -> str:
+        return f"""
+sums{i} AS (SELECT b.k, c.d, sum(c.x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM best{i} b JOIN c ON c.r = b.r GROUP BY b.k, c.d),
+m{i + 1} AS (SELECT o.k, o.d, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), o.x) AS x FROM m{i} o LEFT JOIN sums{i} n ON n.k = o.k AND n.d = o.d)"""
+
+    rounds = ",".join(assigned(i) + "," + moved(i) for i in range(clusters.ROUNDS))
+    last = clusters.ROUNDS
+    return f"""
+WITH every AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+parts AS (SELECT r, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM every WHERE len(embedding) = {clusters.DIMENSIONS}),
+usable AS (SELECT r FROM parts GROUP BY r HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+c AS (SELECT r, d, CAST(floor({clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts WHERE r IN (FROM usable)),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS k FROM every WHERE r IN (FROM usable)),
+m0 AS (SELECT f.k, c.d, c.x FROM first f JOIN c ON c.r = f.r WHERE f.k < {clusters.CLUSTERS}),{rounds},{assigned(last)},
+digests AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM m{last} GROUP BY k)
+SELECT e.vec_id, CAST(b.k AS INTEGER) AS cluster, CAST(b.distance AS BIGINT) AS distance,
+ CAST(sum(b.distance) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia, CAST(sum(b.distance) OVER () AS BIGINT) AS inertia, g.centroid_sha256
+FROM best{last} b JOIN every e ON e.r = b.r JOIN digests g ON g.k = b.k"""
+
+
+def op13_html_text(spark: SparkSession, directory: str) -> DataFrame:
+    found = extraction.extract(read(spark, directory, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -152,6 +228,14 @@ QUERIES = {
         op8_id_files,
         op9_exact_dedup,
         op10_pii,
+        op11_source_divergence,
+        op12_centroid_clusters,
+        op13_html_text,
     )
 }
-ORACLES = {"op6_url_filter": _op6_sql(), "op9_exact_dedup": OP9_SQL}
+ORACLES = {
+    "op6_url_filter": _op6_sql(),
+    "op9_exact_dedup": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_centroid_clusters": _op12_sql(),
+}
