@@ -87,7 +87,8 @@ def label_of(name: str, attrs: str) -> str:
             elif key == "style":
                 flags |= OUT if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE) else 0
             elif key in ("class", "id"):
-                words += [w.lower() for w in _SPLIT.split(_CAMEL.sub(" ", _QUALIFIED.sub(" ", value))) if w]
+                plain = _QUALIFIED.sub(" ", value)
+                words += [w.lower() for w in _SPLIT.split(f"{plain} {_CAMEL.sub(' ', plain)}") if w]
     if name in _LEFT_OUT or not _WORDS.isdisjoint(words):
         flags |= OUT
     if name == "form":
