@@ -152,12 +152,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     cuts before every space that a visible character follows. No special tokens. Null texts count as empty and have no ids;
     repeated rows are encoded each; an empty table gives an empty result. Other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=5000)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, encoder = _encoder(path, pattern)
         for batch in batches:
-            ids = [array.astype("<u4").tobytes() for array in encoder(batch["text"].tolist())]
+            whole, lengths = encoder.flat(batch["text"].tolist())
+            raw, ends = whole.astype("<u4").tobytes(), np.cumsum(lengths) * 4
+            ids = [raw[a:b] for a, b in zip((ends - lengths * 4).tolist(), ends.tolist())]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

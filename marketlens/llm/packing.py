@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import bounded_batches, whole_text
-from marketlens.llm.wordwise import json_encoder
+from marketlens.llm.wordwise import json_encoder, with_end
 from marketlens.operators.numbering import with_position
 from marketlens.sources.scratch import materialise
 
@@ -78,22 +78,25 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     A document is its ids and ``end_id``. One longer than ``capacity`` is cut into pieces of that length, of which the first
     takes the rest and may be shorter. Null texts count as empty: the end id alone.
     """
-    bounded_batches(docs.sparkSession, rows=200, size=4 << 20)
-    end = np.asarray([end_id], dtype="<u4")
+    bounded_batches(docs.sparkSession, rows=5000)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = json_encoder(vocabulary)
         encoder.max_words = MAX_WORDS
         for batch in batches:
-            rows = []
-            for doc_id, missing, ids in zip(batch["doc_id"], batch["missing"], encoder(batch["text"].tolist())):
-                whole = np.concatenate([ids.astype("<u4"), end])
-                size = len(whole)
-                starts = [0, *range((size - 1) % capacity + 1, size, capacity)]
-                for piece, (a, b) in enumerate(zip(starts, [*starts[1:], size])):
-                    rows.append((None if missing else doc_id, piece, a, b - a, zlib.crc32(whole[a:b].tobytes())))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            whole, sizes = with_end(*encoder.flat(batch["text"].tolist()), end_id)
+            # Of each document: its pieces, the length of the first one, and where it begins.
+            times, first, begins = -(-sizes // capacity), (sizes - 1) % capacity + 1, np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(sizes)), times)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[row], capacity)
+            at = begins[row] + start
+            raw = memoryview(whole.view(np.uint8))
+            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            ids = batch["doc_id"].astype("Int64").mask(batch["missing"])
+            columns = {"doc_id": ids.array[row], "piece": piece, "start": start, "length": length, "ids_crc32": sums}
+            yield pd.DataFrame(columns).astype({"piece": "int32", "ids_crc32": "int64"})
         # The worker lives on for other stages, which need the memory.
         encoder.forget()
 

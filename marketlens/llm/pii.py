@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import whole_text
+from marketlens.llm.common import free_name, whole_text
 
 # Characters before a span in which a context word counts, the score it adds, and the score to be kept.
 CONTEXT_CHARS = 40
@@ -228,9 +228,10 @@ def mask(docs: DataFrame) -> DataFrame:
 
     Rows without any, null texts among them, are unchanged.
     """
-    found = docs.withColumn("_spans", spans(F.col("text")))
-    changed = F.size("_spans") > 0
-    out = found.withColumn("text", F.when(changed, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    name = free_name(docs, "_spans")
+    found = docs.withColumn(name, spans(F.col("text")))
+    changed = F.size(name) > 0
+    out = found.withColumn("text", F.when(changed, masked(F.col("text"), F.col(name))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars")))

@@ -226,4 +226,5 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without those the classifier rejects; columns unchanged."""
-    return score(docs).where("_kept").select(*docs.columns)
+    _, scorer = fit(docs)
+    return docs.where(scorer.column(whole_text()) >= MIN_SCORE)
