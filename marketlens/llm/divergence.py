@@ -27,7 +27,7 @@ UNIT = 1_000_000_000
 TOP_TERMS = 50
 # Bytes of text counted at once, and cells (terms times sources) of a block.
 CHUNK_BYTES = 8 << 20
-BLOCK_CELLS = 1 << 21
+BLOCK_CELLS = 1 << 18
 
 # A term is a run of these bytes: letters A-Z and a-z, and all of what is not ASCII. Small letters stand for A-Z.
 _IN_TERM = np.zeros(256, dtype=bool)
