@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from marketlens.llm.common import bounded_batches, whole_text
-from marketlens.llm.wordwise import WordEncoder
+from marketlens.llm.wordwise import CHUNK_BYTES, WordEncoder
 
 
 class Merges:
@@ -152,7 +152,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     cuts before every space that a visible character follows. No special tokens. Null texts count as empty and have no ids;
     repeated rows are encoded each; an empty table gives an empty result. Other columns are not read.
     """
-    bounded_batches(docs.sparkSession, rows=5000)
+    bounded_batches(docs.sparkSession, rows=1000, size=CHUNK_BYTES)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, encoder = _encoder(path, pattern)

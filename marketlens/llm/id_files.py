@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import bounded_batches, text_parts, whole_text
-from marketlens.llm.wordwise import json_encoder, with_end
+from marketlens.llm.wordwise import CHUNK_BYTES, json_encoder, with_end
 from marketlens.sources.scratch import materialise, scratch_scope
 
 END_ID = 0
@@ -78,7 +78,7 @@ _CODEBOOK = "rank int, id long"
 
 def _spool(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Segments of plain ids (16 bits where they fit) in the order of the files."""
-    bounded_batches(docs.sparkSession, rows=5000)
+    bounded_batches(docs.sparkSession, rows=1000, size=CHUNK_BYTES)
     columns = [part.split()[0] for part in _SPOOL.split(", ")]
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

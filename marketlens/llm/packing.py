@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import bounded_batches, whole_text
-from marketlens.llm.wordwise import json_encoder, with_end
+from marketlens.llm.wordwise import CHUNK_BYTES, json_encoder, with_end
 from marketlens.operators.numbering import with_position
 from marketlens.sources.scratch import materialise
 
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     A document is its ids and ``end_id``. One longer than ``capacity`` is cut into pieces of that length, of which the first
     takes the rest and may be shorter. Null texts count as empty: the end id alone.
     """
-    bounded_batches(docs.sparkSession, rows=5000)
+    bounded_batches(docs.sparkSession, rows=1000, size=CHUNK_BYTES)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = json_encoder(vocabulary)

@@ -11,6 +11,7 @@ themselves. Where a cut is not certain from a few bytes there is none, which cha
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -18,7 +19,7 @@ import numpy as np
 # Pieces remembered by a Python worker, some 70 bytes each; beyond that it starts afresh.
 MAX_WORDS = 1_000_000
 # Bytes of texts cut at once, bytes of new pieces in one string, and strings encoded at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 GROUP_BYTES = 1 << 16
 GROUPS = 4
 # Bytes of a piece that is compared as words.
@@ -294,6 +295,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def json_encoder(path: str) -> WordEncoder:
     """For a byte-level .json vocabulary, by the tokenizers library; kept for the worker's later tasks."""
     if path not in _ENCODERS:
+        # Tasks are what runs in parallel; threads of the library would each keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
