@@ -154,9 +154,9 @@ def update_all(df: DataFrame, values: Mapping[str, object], key: str = "id") ->
 
 
 def patch(df: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Replace values by the updates' non-null ones; ``updates`` has one row per key."""
+    """Replace values by the updates' non-null ones; of several for one key and column the largest counts."""
     names = [name for name in updates.columns if name != key]
-    renamed = updates.select(key, *[F.col(name).alias(f"_new_{name}") for name in names])
+    renamed = updates.groupBy(key).agg(*[F.max(name).alias(f"_new_{name}") for name in names])
     changed = {name: F.coalesce(F.col(f"_new_{name}").cast(df.schema[name].dataType), F.col(name)) for name in names}
     return df.join(renamed, key, "left").withColumns(changed).select(df.columns)
 

@@ -12,6 +12,16 @@ _PARTITION_SHIFT = 33
 _ROW_MASK = (1 << _PARTITION_SHIFT) - 1
 
 
+def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows sorted by ranges and written, with ``_part``, the number of their range, and ``_row``, ascending within it.
+
+    What is computed along the order needs one window per range and then one row per range.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = materialise(sorted_rows.withColumn("_row", F.monotonically_increasing_id()))
+    return written.withColumn("_part", F.shiftright("_row", _PARTITION_SHIFT))
+
+
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Add 0, 1, 2, ... in ``order``, which must not leave ties.
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from marketlens.functions.literals import days_before
 from marketlens.functions.numeric import exact_mean, mean_of, percent
 from marketlens.schemas import is_numeric, is_text
+from marketlens.sources.scratch import materialise
 
 
 def catalog_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -25,6 +26,15 @@ def catalog_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+def list_columns(df: DataFrame) -> DataFrame:
+    """One row per column: position, name, type, nullability, default. From the schema alone: no row is read."""
+    rows = [
+        (position, field.name, field.dataType.simpleString(), field.nullable, field.metadata.get("default"))
+        for position, field in enumerate(df.schema.fields, 1)
+    ]
+    return df.sparkSession.createDataFrame(rows, 'position int, `column` string, type string, nullable boolean, `default` string')
+
+
 def describe(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, nullability, default, and how many values it lacks."""
     counted = df.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in df.columns])
@@ -94,11 +104,11 @@ def text_profile(df: DataFrame) -> DataFrame:
 
 def common_values(df: DataFrame, column: str, n: int = 5, max_distinct: int = 20) -> DataFrame:
     """The most common values, if the column has few enough distinct ones; else nothing."""
-    filled = df.where(F.col(column).isNotNull() & (F.col(column) != ""))
-    counts = filled.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    # Distinct values include the empty text, as in the profile.
-    distinct = df.agg(F.count_distinct(F.col(column)).alias("distinct")).scalar()
-    return counts.where(distinct <= max_distinct).orderBy(F.desc("count"), "value").limit(n)
+    # The table is read once; distinct values, which include the empty text as in the profile, are the rows of the counts.
+    given = df.where(F.col(column).isNotNull())
+    counts = materialise(given.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count")))
+    distinct = counts.agg(F.count(F.lit(1)).alias("distinct")).scalar()
+    return counts.where((F.col("value") != "") & (distinct <= max_distinct)).orderBy(F.desc("count"), "value").limit(n)
 
 
 def recent(df: DataFrame, column: str, as_of: str, days: int = 1) -> DataFrame:

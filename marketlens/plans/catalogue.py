@@ -15,6 +15,7 @@ from marketlens.plans import (  # noqa: F401  (registration)
     report_queries,
     source_queries,
     stats_queries,
+    time_queries,
 )
 from marketlens.plans.registry import ORACLES, QUERIES, Tables
 from marketlens.session import adopt

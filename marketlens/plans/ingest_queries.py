@@ -8,6 +8,7 @@ from marketlens.plans.derived import AS_OF, BASE_URL
 from marketlens.plans.registry import query
 from marketlens.sources.scratch import new_path
 from marketlens.streaming.ingest import stream_ingest, table_so_far
+from marketlens.streaming.state import KeyState
 
 # The patterns and texts of this module are those the scraped pages are read by.
 NUMBER = r"'^[+-]?(\d+(\.\d*)?|\.\d+)$'"
@@ -279,6 +280,10 @@ def _(t):
     base = new_path(t.spark, "stream")
     cards = t.staging
     cards.write.parquet(f"{base}/in")
+
+    def parse(batch):
+        return ingest.parse_cards(batch, BASE_URL, AS_OF)
+
     stream_ingest(
         t.spark,
         f"{base}/in",
@@ -286,6 +291,8 @@ def _(t):
         f"{base}/checkpoint",
         cards.schema,
         t.known_restaurants,
-        lambda known, batch: ingest.insert_new_restaurants(known, ingest.parse_cards(batch, BASE_URL, AS_OF)),
+        lambda known, batch: ingest.insert_new_restaurants(known, parse(batch)),
+        state=KeyState(f"{base}/out", ingest.RESTAURANT_KEY, t.known_restaurants.schema, buckets=16),
+        parse=parse,
     ).awaitTermination()
     return table_so_far(t.spark, f"{base}/out", t.known_restaurants.schema)
