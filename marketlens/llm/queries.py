@@ -57,7 +57,8 @@ def op5_bpe(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, directory: str) -> DataFrame:
-    judged = url_filter.judge(read(spark, directory, "pages"), read(spark, directory, "labels"))
+    pages, labels = read(spark, directory, "pages"), read(spark, directory, "labels")
+    judged = url_filter.judge(pages, labels, document=url_filter.document_of(F.col("url")))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -74,6 +75,8 @@ def _op6_level(level: str, prior: str) -> str:
 
 def _op6_sql() -> str:
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    two = "concat(split_part(p.host, '.', -2), '.', split_part(p.host, '.', -1))"
+    known = ", ".join(f"'{suffix}'" for suffix in url_filter.SUFFIXES)
     rules = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
 
     def first(value) -> str:
@@ -90,9 +93,9 @@ parsed AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEF
 outcomes AS (SELECT doc_id, count(*) AS n, count(*) FILTER (quality = 1 AND coalesce(toxic, 0) <> 1) AS good
  FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 hosts AS (SELECT p.host, CAST(sum(coalesce(o.n, 0)) AS DOUBLE) AS n, CAST(sum(coalesce(o.good, 0)) AS DOUBLE) AS good,
- split_part(p.host, '.', -1) AS suffix,
- CASE WHEN contains(p.host, '.') THEN concat(split_part(p.host, '.', -2), '.', split_part(p.host, '.', -1)) ELSE p.host END AS domain
- FROM parsed p LEFT JOIN outcomes o ON o.doc_id = p.page_id GROUP BY p.host),
+ CASE WHEN {two} IN ({known}) THEN {two} ELSE split_part(p.host, '.', -1) END AS suffix,
+ CASE WHEN NOT contains(p.host, '.') OR p.host IN ({known}) THEN p.host WHEN {two} IN ({known}) THEN concat(split_part(p.host, '.', -3), '.', {two}) ELSE {two} END AS domain
+ FROM parsed p LEFT JOIN outcomes o ON o.doc_id = TRY_CAST(nullif(regexp_extract(p.path, '/([0-9]+)[^/]*$', 1), '') AS BIGINT) GROUP BY p.host),
 everything AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS mean FROM hosts),
 suffix_in AS (SELECT hosts.*, mean AS above FROM hosts, everything),{_op6_level("suffix", "above")},
 domain_in AS (SELECT hosts.*, mean AS above FROM hosts JOIN suffix_mean ON k = hosts.suffix),{_op6_level("domain", "above")},

@@ -23,6 +23,14 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+# Public suffixes of two labels; all others are the last label.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk",
+    "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.nz", "net.nz", "org.nz",
+    "com.br", "net.br", "org.br", "gov.br", "com.ar", "com.mx", "com.co", "com.pe",
+    "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "or.kr", "com.cn", "net.cn", "org.cn", "com.tw", "com.hk", "com.sg",
+    "co.in", "net.in", "org.in", "com.tr", "co.il", "co.za", "com.pl", "com.ua", "com.ru",
+)
 # Upper posterior bound: mean plus so many standard deviations; below MIN_GOOD a host is blocked.
 DEVIATIONS = 2.0
 MIN_GOOD = 0.5
@@ -45,13 +53,21 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
+def suffix_of(host: Column) -> Column:
+    """The public suffix of a host: its last two labels if they are in ``SUFFIXES``, else the last one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain of a host: its public suffix and the label before that."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def document_of(url: Column) -> Column:
+    """The document that a page shows: the number that begins the last part of its path, null if there is none."""
+    return F.regexp_extract(path_of(url), r"/([0-9]+)[^/]*\z", 1).try_cast("long")
 
 
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -107,16 +123,22 @@ def reputations(hosts: DataFrame) -> DataFrame:
     return own.select(F.col("_of").alias("host"), "mean", (F.col("mean") + DEVIATIONS * deviation).alias("upper"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, document: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, mean, upper of every row of ``pages`` (page_id, url).
 
-    ``labels`` (doc_id, quality, toxic) has the outcome of pages by id; a page is good with quality 1 and toxic not 1. Labels of
+    ``labels`` (doc_id, quality, toxic) has the outcome of pages by the document they show: ``document`` of a page's columns, or
+    else page_id. A page is good with quality 1 and toxic not 1. Labels of
     unknown pages, without an id or without a quality are ignored; several labels of a page count each.
     Null urls and urls without ``://`` have an empty host and path, share the reputation of the empty host and fit no
     rule. Repeated rows are judged each. Other columns are not read.
     """
     parsed = materialise(
-        pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+        pages.select(
+            "page_id",
+            host_of(F.col("url")).alias("host"),
+            path_of(F.col("url")).alias("path"),
+            (F.col("page_id") if document is None else document).cast("long").alias("document"),
+        )
     )
     outcomes = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -126,7 +148,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
             F.sum(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("long")).alias("good"),
         )
     )
-    labelled = parsed.join(outcomes, parsed["page_id"] == outcomes["doc_id"], "left")
+    labelled = parsed.join(outcomes, parsed["document"] == outcomes["doc_id"], "left")
     zero = F.lit(0).cast("long")
     counts = labelled.groupBy("host").agg(
         F.sum(F.coalesce("n", zero)).alias("n"), F.sum(F.coalesce("good", zero)).alias("good")

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from compare import connect, differences
 
+from pyspark.sql import functions as F
+
 from marketlens.llm import quality, queries, url_filter
 
 
@@ -89,3 +91,23 @@ def test_classifier_edges(make):
     ids = [r.doc_id for r in kept.collect()]
     assert set(range(30)) <= set(ids) and not set(ids) & set(range(100, 106)) and ids.count(1) == 2
     assert quality.keep_good(docs.limit(0)).count() == 0
+
+
+def test_a_bad_host_is_blocked_by_the_documents_it_shows(spark):
+    """Page ids and documents are different numbers; the bad host's neighbour in one domain passes."""
+    rows = [(1000 + i, f"https://spam.shop.co.uk/en/{i}.html?x=1") for i in range(80)]
+    rows += [(3000 + i, f"https://books.shop.co.uk/en/{100 + i}") for i in range(80)]
+    rows += [(5000 + i, f"https://other{i % 9}.co.uk/de/{200 + i}#top") for i in range(90)]
+    rows += [(7000, "https://new.shop.co.uk/"), (7001, "https://spam.shop.co.uk/about"), (7002, "https://h.org/99999999999999999999")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    # Were pages matched by page_id, every host would be bad.
+    labels = [(i, 0, 0) for i in range(80)] + [(100 + i, 1, 0) for i in range(80)] + [(200 + i, 1, 0) for i in range(90)] + [(r[0], 0, 1) for r in rows]
+    judged = url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), document=url_filter.document_of(F.col("url")))
+    verdicts = {}
+    for row in judged.collect():
+        verdicts.setdefault(row.host, set()).add(row.verdict)
+    assert verdicts.pop("spam.shop.co.uk") == {"block"}
+    assert set.union(*verdicts.values()) == {"allow"}
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "host string")
+    found = hosts.select(url_filter.domain_of(F.col("host")), url_filter.suffix_of(F.col("host"))).collect()
+    assert [tuple(r) for r in found] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
