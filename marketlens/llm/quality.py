@@ -27,7 +27,9 @@ from marketlens.sources.scratch import materialise
 HASHED = 1 << 12
 # The scorer is fitted on about so many documents, those with the smallest hashes of id and text.
 TRAINING_ROWS = 20_000
-ROUNDS = 50
+# Rounds of expectation-maximisation at most; it ends when no posterior changes by more than the tolerance.
+ROUNDS = 200
+TOLERANCE = 1e-9
 # Documents are kept from this score on.
 MIN_SCORE = 0.5
 # Shapes remembered by a Python worker.
@@ -117,7 +119,9 @@ class LabelModel:
         # Where to begin: every bad vote makes a document three times less likely to be good.
         self.posterior = 0.95 / 3.0 ** (patterns == 0).sum(axis=1)
         total = counts.sum()
-        for _ in range(rounds if total else 0):
+        self.rounds = 0
+        for self.rounds in range(1, (rounds if total else 0) + 1):
+            before = self.posterior
             weights = np.stack([counts * (1 - self.posterior), counts * self.posterior])
             self.share = (weights[1].sum() + 1) / (total + 2)
             # Smoothed towards better than chance, so that classes cannot swap.
@@ -128,6 +132,8 @@ class LabelModel:
                     self.chances[kind, :, value] = seen + (0.8 if kind == value else 0.2)
                 self.chances[kind] /= self.chances[kind].sum(axis=1, keepdims=True)
             self.posterior = self._posterior()
+            if np.abs(self.posterior - before).max() <= TOLERANCE:
+                break
 
     def _posterior(self) -> np.ndarray:
         logs = np.log([1 - self.share, self.share])[:, None] + np.zeros(len(self.patterns))
@@ -145,10 +151,16 @@ def _votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([votes(*reader(text)[:2]) for text in texts], dtype=object)
 
 
+_READER: list[Reader] = []
+
+
 @F.udf(VectorUDT())
 def _vector(text: str) -> SparseVector:
-    """Only for the training rows: their features as a vector."""
-    _, measures, hashed = Reader()(text)
+    """Only for the training rows, a bounded number: their features as a vector, which Arrow functions cannot return."""
+    if not _READER:
+        # Kept by the worker, with the shapes it has seen.
+        _READER.append(Reader())
+    _, measures, hashed = _READER[0](text)
     whole = np.concatenate([hashed, measures])
     at = np.flatnonzero(whole)
     return SparseVector(len(whole), at, whole[at])

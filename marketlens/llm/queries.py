@@ -20,7 +20,7 @@ from marketlens.llm import (
     token_counts,
     url_filter,
 )
-from marketlens.llm.common import read
+from marketlens.llm.common import read, text_parts
 from marketlens.sources.scratch import new_path
 
 # Tokens beyond which a document is marked.
@@ -35,8 +35,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = fingerprints.edited_pairs(read(spark, directory, "documents"), buckets)
+    docs = read(spark, directory, "documents")
+    pairs = fingerprints.edited_pairs(docs, text_parts(docs))
     return pairs.select(
         "doc_id",
         "n_chars",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -96,3 +97,71 @@ def shingles(text: str) -> set[tuple[str, ...]]:
 
 def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def shape(word: str) -> bytes:
+    """Capitals A, other letters a, digits 0, all other characters as they are; byte by byte of the UTF-8 text."""
+    out = bytearray()
+    for b in word.encode():
+        c = chr(b)
+        out.append(65 if "A" <= c <= "Z" else 97 if b >= 128 or "a" <= c <= "z" else 48 if "0" <= c <= "9" else b)
+    return bytes(out)
+
+
+def quality_features(text: str, hashed: int) -> tuple[int, list[float], dict[int, float]]:
+    """(words, measures, hash bucket -> share) of a text."""
+    raw = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    words = [lower_ascii(w) for w in raw]
+    n = len(words)
+    if not n:
+        return 0, [0.0] * 7, {}
+    counts = {}
+    for word in raw:
+        short = re.sub(rb"([aA0])\1+", rb"\1", shape(word))
+        bucket = zlib.crc32(short) % hashed
+        counts[bucket] = counts.get(bucket, 0) + 1
+    letters = sum(1 for c in text if c.isascii() and c.isalpha() or ord(c) >= 128)
+    measures = [
+        sum(text.count(c) for c in "#$%&*|~^<>{}=_\\@") / len(text),
+        sum(1 for c in text if "A" <= c <= "Z") / max(letters, 1),
+        min(sum(text.count(c) for c in "|!") / n, 1.0),
+        sum(1 for w in raw if re.fullmatch(rb"[aA'-]+[.,;:!?]?", shape(w))) / n,
+        min(len(set(words)) / min(n, 6 * n**0.5), 1.0),
+        sum(a == b for a, b in zip(words, words[1:])) / n,
+        min(letters / n / 20, 1.0),
+    ]
+    size = sum(v * v for v in counts.values()) ** 0.5
+    return n, [min(m, 1.0) for m in measures], {b: v / size for b, v in counts.items()}
+
+
+def quality_votes(words: int, m: list[float]) -> tuple[int, ...]:
+    bad = [(3, m[0] > 0.03), (8, m[1] > 0.2), (8, m[2] > 0.1), (16, m[3] < 0.75), (20, m[4] < 0.55), (8, m[5] > 0.08), (8, m[6] < 0.1 or m[6] > 0.7)]
+    return tuple(-1 if words < least else int(not b) for least, b in bad)
+
+
+def label_posteriors(votes: list[tuple[int, ...]]) -> dict[tuple[int, ...], float]:
+    """Expectation-maximisation over single documents, until nothing changes."""
+    good = [0.95 / 3 ** sum(v == 0 for v in vote) for vote in votes]
+    for _ in range(400):
+        share = (sum(good) + 1) / (len(votes) + 2)
+        chance = {}
+        for labeller in range(len(votes[0])):
+            for kind in (0, 1):
+                seen = [0.2, 0.2]
+                seen[kind] = 0.8
+                for vote, p in zip(votes, good):
+                    if vote[labeller] >= 0:
+                        seen[vote[labeller]] += p if kind else 1 - p
+                for value in (0, 1):
+                    chance[labeller, kind, value] = seen[value] / sum(seen)
+        after = []
+        for vote in votes:
+            odds = [1 - share, share]
+            for labeller, value in enumerate(vote):
+                if value >= 0:
+                    odds = [odds[kind] * chance[labeller, kind, value] for kind in (0, 1)]
+            after.append(odds[1] / sum(odds))
+        if max(abs(a - b) for a, b in zip(good, after)) < 1e-12:
+            break
+        good = after
+    return dict(zip(votes, good))

@@ -1,5 +1,6 @@
 """URL filter against its SQL and by hand, the classifier against held-out labels."""
 
+import brute
 import numpy as np
 import pytest
 from compare import connect, differences
@@ -111,3 +112,28 @@ def test_a_bad_host_is_blocked_by_the_documents_it_shows(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "host string")
     found = hosts.select(url_filter.domain_of(F.col("host")), url_filter.suffix_of(F.col("host"))).collect()
     assert [tuple(r) for r in found] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
+
+
+def test_classifier_against_plain_versions(spark, small, make):
+    """Votes, posteriors and scores of every document of the small table and of odd texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    odd = make([(9000, None), (9001, ""), (9002, "A1 b2 !!! ||| #"), (9003, "É é ß " * 30), (9004, "x " * 5000), (None, "no id")], extra=False)
+    docs = docs.unionByName(odd.select("doc_id", "text"))
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    found = {i: brute.quality_features(text, quality.HASHED) for i, text in rows}
+    votes = {i: brute.quality_votes(n, measures) for i, (n, measures, _) in found.items()}
+    for i, text in rows:
+        n, measures, hashed = quality.Reader()(text)
+        assert n == found[i][0] and np.allclose(measures, found[i][1])
+        assert {int(b): float(hashed[b]) for b in np.flatnonzero(hashed)} == pytest.approx(found[i][2])
+        assert tuple(quality.votes(n, measures)) == votes[i]
+    labels, scorer = quality.fit(docs)
+    expected = brute.label_posteriors([votes[i] for i, _ in rows])
+    got = {tuple(pattern): p for pattern, p in zip(labels.patterns.tolist(), labels.posterior.tolist())}
+    assert got == pytest.approx(expected, abs=1e-4) and 1 < labels.rounds < quality.ROUNDS
+    scores = {r.doc_id: (r._score, r._kept) for r in quality.score(docs).collect()}
+    for i, (_, measures, hashed) in found.items():
+        total = scorer.constant + sum(w * m for w, m in zip(scorer.weights[quality.HASHED :], measures))
+        total += sum(scorer.weights[b] * v for b, v in hashed.items())
+        assert scores[i][0] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
+        assert scores[i][1] == (scores[i][0] >= quality.MIN_SCORE)
