@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import free_name, whole_text
 
-# Characters before a span in which a context word counts, the score it adds, and the score to be kept.
+# Characters before and after a span in which context words count, the score one adds (or takes, if it speaks against
+# the kind), and the score to be kept.
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3
 MIN_SCORE = 0.5
@@ -27,7 +28,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
-    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
     31: "MT SC", 32: "LC", 33: "RU",
 }
 
@@ -50,7 +51,8 @@ def _iban() -> str:
 class Kind:
     """A kind of data: ``possible`` is a cheap test whether a text can hold any.
 
-    With ``ahead`` the pattern takes one character, and its group 1 is the match.
+    With ``ahead`` the pattern takes one character, and its group 1 is the match. ``against`` are words that speak against the
+    kind; they count for kinds that this method adds.
     """
 
     name: str
@@ -60,6 +62,7 @@ class Kind:
     context: str
     base: bool
     ahead: bool = False
+    against: str = ""
 
 
 # Kinds in the order of the output; those that are not base are additions of this method.
@@ -68,8 +71,8 @@ KINDS = (
     Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", 0.6, "ip|address|host|server|login", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){13}", 0.9, "card|visa|credit|pay|carte|tarjeta|karte", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "call|phone|tel|fax|mobil", True),
-    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|konto|compte|cuenta|bank", False, ahead=True),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social security|taxpayer", False),
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|konto|compte|cuenta|bank", False, ahead=True, against="serial|product|order"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social security|taxpayer", False, against="serial|product|order|invoice|part|case"),
 )
 
 
@@ -159,9 +162,12 @@ def _spans_of(text: Column, number: int, kind: Kind) -> Column:
             match = pair.getField("match")
             start = pair.getField("upto") - taken(match)
             end = start + F.length(match)
-            ahead = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-            bonus = F.when(F.lower(ahead).rlike(rf"\b(?:{kind.context})"), CONTEXT_BONUS).otherwise(0.0)
-            score = F.when(_confirmed(kind, match), F.least(F.lit(1.0), kind.score + bonus)).otherwise(0.0)
+            before = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
+            near = F.lower(F.concat(before, F.lit("\n"), F.substring(text, end + 1, F.lit(CONTEXT_CHARS))))
+            bonus = F.when(near.rlike(rf"\b(?:{kind.context})"), CONTEXT_BONUS).otherwise(0.0)
+            if kind.against:
+                bonus = bonus - F.when(near.rlike(rf"\b(?:{kind.against})"), CONTEXT_BONUS).otherwise(0.0)
+            score = F.when(_confirmed(kind, match), F.least(F.lit(1.0), F.lit(kind.score) + bonus)).otherwise(0.0)
             return F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), score.alias("score"))
 
         return F.when(F.size(found) > 0, F.transform(pairs, span)).otherwise(F.array().cast(_SPAN))
@@ -192,6 +198,11 @@ def joined(found: Column) -> Column:
     return F.array_join(each, ",")
 
 
+def scores(found: Column) -> Column:
+    """The spans' scores in hundredths, comma-joined."""
+    return F.array_join(F.transform(found, lambda s: F.round(s.getField("score") * 100).cast("int").cast("string")), ",")
+
+
 def base_only(found: Column) -> Column:
     extra = [number for number, kind in enumerate(KINDS) if not kind.base]
     return F.filter(found, lambda s: ~s.getField("kind").isin(extra))

@@ -153,7 +153,8 @@ def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
     found = pii.find(read(spark, directory, "documents"))
     counts = [pii.count_of(F.col("spans"), kind.name).alias(f"n_{kind.name}") for kind in pii.KINDS]
     base = F.sha2(pii.joined(pii.base_only(F.col("spans"))), 256)
-    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    spans, scores = pii.joined(F.col("spans")).alias("spans"), pii.scores(F.col("spans")).alias("scores")
+    return found.select("doc_id", *counts, base.alias("base_sha256"), spans, scores)
 
 
 def op11_source_divergence(spark: SparkSession, directory: str) -> DataFrame:

@@ -39,3 +39,22 @@ def test_what_is_none(make):
 def test_masked(make):
     (row,) = pii.mask(make([(1, f"to {SPACED} BIC COBADEFF")])).collect()
     assert (row.text, row.n_chars) == ("to [IBAN] BIC COBADEFF", 22)
+
+
+def test_context_on_both_sides(make):
+    number = "078-05-1120"
+    cases = [
+        (1, f"{number} is my social security number"),
+        (2, f"SSN {number}"),
+        (3, f"see {number} there"),
+        (4, f"order {number} of the taxpayer"),
+        (5, "SSN " + "x" * 50 + f" {number} " + "x" * 50 + " ssn"),
+        (6, "YE15 CBYE 0001 0188 6123 4567 8901 23"),
+        (7, "mail a@b.org"),
+    ]
+    frame = pii.find(make(cases)).select("doc_id", pii.joined(pii.F.col("spans")).alias("spans"), pii.scores(pii.F.col("spans")).alias("scores"))
+    found = {r.doc_id: (r.spans.split(":")[0], r.scores) for r in frame.collect()}
+    assert found[1] == found[2] == ("ssn", "70") and found[3] == found[4] == found[5] == ("", "")
+    assert found[7] == ("email", "100")
+    # Thirty characters: the length of its country.
+    assert "YE" in pii.IBAN_LENGTHS[30]
