@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,16 +29,20 @@ class SnapshotDamaged(Exception):
     """Row count or checksum of a table differs from its catalogue entry."""
 
 
+def _fingerprint(df: DataFrame) -> list[Column]:
+    row_hash = F.xxhash64(*[F.col(name) for name in df.columns]).cast("decimal(20,0)")
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(row_hash), F.lit(0).cast("decimal(30,0)")).cast("string").alias("checksum"),
+    ]
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and order-independent checksum of a table, in one pass.
 
     Hashes are summed as decimals: unlike an exclusive or, equal rows do not cancel out.
     """
-    row_hash = F.xxhash64(*[F.col(name) for name in df.columns]).cast("decimal(20,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(row_hash), F.lit(0).cast("decimal(30,0)")).cast("string").alias("checksum"),
-    )
+    return df.agg(*_fingerprint(df))
 
 
 def _catalogue(spark: SparkSession, directory: str) -> DataFrame:
@@ -65,19 +69,14 @@ def snapshot(
         column = (cluster_by or {}).get(name)
         order = [] if column is None else list(dict.fromkeys([column, *({"id"} & set(frame.columns))]))
         written = frame.repartitionByRange(*order).sortWithinPartitions(*order) if order else frame
-        written.write.mode("errorifexists").parquet(path)
-        # Counted from the files: what is recorded is what a restore will find.
-        entries.append(
-            fingerprint(spark.read.parquet(path)).select(
-                F.lit(snapshot_id).alias("snapshot_id"),
-                F.lit(as_of).cast("timestamp").alias("as_of"),
-                F.lit(label).alias("label"),
-                F.lit(name).alias("table"),
-                "rows",
-                "checksum",
-            )
-        )
-    reduce(DataFrame.unionByName, entries).coalesce(1).write.mode("append").json(f"{directory}/catalogue")
+        # Counted by the tasks that write, of which only successful ones count; ``verify`` reads the files.
+        counted = Observation()
+        written.observe(counted, *_fingerprint(frame)).write.mode("errorifexists").parquet(path)
+        found = counted.get
+        entries.append((snapshot_id, as_of, label, name, found["rows"], found["checksum"]))
+    # Bounded: one row per table.
+    listed = spark.createDataFrame(entries, "snapshot_id string, as_of string, label string, table string, rows long, checksum string")
+    listed.withColumn("as_of", F.col("as_of").cast("timestamp")).coalesce(1).write.mode("append").json(f"{directory}/catalogue")
     return _catalogue(spark, directory).where(F.col("snapshot_id") == snapshot_id)
 
 
