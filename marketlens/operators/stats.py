@@ -72,12 +72,15 @@ def _profile(df: DataFrame, names: list[str], value_type: T.DataType) -> DataFra
         F.max("value").cast("double").alias("max"),
         mean_of(F.sum(value * n), F.sum("n")).alias("avg"),
         F.count(F.lit(1)).alias("distinct"),
+        F.min("value").cast("string").alias("min_value"),
+        F.max("value").cast("string").alias("max_value"),
     )
 
 
 def numeric_profile(df: DataFrame) -> DataFrame:
     """Smallest, largest, mean and number of distinct non-null values of each numeric column.
 
+    ``min`` and ``max`` are doubles; ``min_value`` and ``max_value`` are the same values as text, exact in the column's own type.
     Columns of one type are turned into (column, value) rows and counted per value
     first, with partial counts in the map tasks: their distinct counts take one scan
     of just these columns, and no value, however frequent, is collected in one place.

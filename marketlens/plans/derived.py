@@ -128,4 +128,11 @@ SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE concat('P
  CASE WHEN o_orderkey % 3 = 0 THEN 'Sim' WHEN o_orderkey % 3 = 1 THEN 'n' WHEN o_orderkey % 37 = 0 THEN 'talvez' ELSE 'true' END AS available,
  CASE WHEN o_orderkey % 43 = 0 THEN '31/12/2024' ELSE substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 10) END AS valid_until
 FROM {orders}""",
+    # The properties of every event with some of its columns among them: a key of two types, one that not all have,
+    # a key of its own for each user, and texts that are cut off or no object.
+    "event_props": """
+SELECT event_id, CASE WHEN event_id % 50 = 7 THEN substring(props, 1, 4) WHEN event_id % 50 = 8 THEN '[1]'
+ ELSE concat(substring(props, 1, 1), '"type": "', event_type, '", "amount": ', CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS STRING) ELSE concat(CAST(user_id AS STRING), '.25') END,
+ CASE WHEN event_id % 4 = 0 THEN ', "seen": true' ELSE '' END, ', "u', CAST(user_id AS STRING), '": ', CAST(event_id AS STRING), ', ', substring(props, 2)) END AS props
+FROM {events}""",
 }

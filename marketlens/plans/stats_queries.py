@@ -1,8 +1,12 @@
 """Catalogue and column statistics as queries."""
 
-from marketlens.operators import stats
+from pyspark.sql import functions as F
+
+from marketlens.operators import properties, stats
 from marketlens.plans.derived import AS_OF, RAW
 from marketlens.plans.registry import query
+from marketlens.sources import sketches
+from marketlens.sources.scratch import new_path
 
 LISTED = ["categories", "products", "restaurants"]
 WIDTHS = {"categories": 4, "products": 8, "restaurants": 11}
@@ -45,7 +49,7 @@ def _(t):
     "t1_numeric_profile",
     " UNION ALL ".join(
         f"""SELECT '{name}' AS "column", CAST(MIN({name}) AS DOUBLE) AS min, CAST(MAX({name}) AS DOUBLE) AS max,
- AVG({name}) AS avg, COUNT(DISTINCT {name}) AS "distinct" FROM {{restaurants}} WHERE {name} IS NOT NULL"""
+ AVG({name}) AS avg, COUNT(DISTINCT {name}) AS "distinct", CAST(MIN({name}) AS VARCHAR) AS min_value, CAST(MAX({name}) AS VARCHAR) AS max_value FROM {{restaurants}} WHERE {name} IS NOT NULL"""
         for name in ["id", "rating", "delivery_time", "delivery_fee", "reviews", "min_order"]
     ),
 )
@@ -136,3 +140,64 @@ def _(t):
 )
 def _(t):
     return stats.size_share(_listed(t))
+
+
+def _exact(name: str, empty: str, low: str, high: str, mean: str) -> str:
+    return f"""SELECT '{name}' AS "column", COUNT(*) AS rows, COUNT(*) FILTER ({name} IS NULL) AS nulls, {empty} AS empty,
+ {low} AS min_value, {high} AS max_value, {mean} AS mean, TRUE AS distinct_ok, TRUE AS quantiles_ok FROM {{products}}"""
+
+
+@query(
+    "n9_stored_sketches",
+    " UNION ALL ".join(
+        [
+            _exact(n, "CAST(NULL AS BIGINT)", f"CAST(MIN({n}) AS VARCHAR)", f"CAST(MAX({n}) AS VARCHAR)", f"AVG({n})")
+            for n in ["id", "restaurant_id", "price"]
+        ]
+        + [
+            _exact(n, f"COUNT(*) FILTER ({n} = '')", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)")
+            for n in ["restaurant_name", "category", "name", "description"]
+        ]
+    ),
+)
+def _(t):
+    path, store, schema = new_path(t.spark, "products"), new_path(t.spark, "sketches"), t.products.schema
+    # The table arrives in two deliveries; the second refresh reads only the second one.
+    cheap = F.coalesce(F.col("price") < 100_000, F.lit(False))
+    for delivery in (cheap, ~cheap):
+        t.products.where(delivery).write.mode("append").parquet(path)
+        sketches.refresh(t.spark, path, schema, store)
+    return sketches.audit(t.products, sketches.profile(t.spark, path, schema, store)).drop("distinct", "quantiles")
+
+
+_OBJECTS = "(SELECT event_id, CAST(props AS JSON) AS j FROM {event_props} WHERE event_id % 50 NOT IN (7, 8)) x"
+
+
+@query(
+    "n10_property_types",
+    f"""SELECT key, type, COUNT(*) AS rows FROM (SELECT unnest(['type', 'k', 'amount', 'seen', concat('u', user_id)]) AS key,
+ unnest(['STRING', 'BIGINT', CASE WHEN event_id % 3 = 0 THEN 'BIGINT' ELSE concat('DECIMAL(', length(CAST(user_id AS VARCHAR)) + 2 - CAST(user_id = 0 AS INT), ',2)') END, CASE WHEN event_id % 4 = 0 THEN 'BOOLEAN' END, 'BIGINT']) AS type
+ FROM events WHERE event_id % 50 NOT IN (7, 8)) x WHERE type IS NOT NULL GROUP BY key, type""",
+)
+def _(t):
+    return properties.key_types(t.event_props, "props")
+
+
+def _split(t):
+    return properties.typed_properties(t.event_props, "props", properties.find_schema(t.event_props, "props", 0.1))
+
+
+@query(
+    "n11_typed_properties",
+    f"""SELECT event_id, CAST(j->>'$.type' AS VARCHAR) AS type, CAST(j->>'$.k' AS BIGINT) AS k,
+ CAST(CAST(j->>'$.amount' AS DECIMAL(21,2)) AS VARCHAR) AS amount, CAST(j->>'$.seen' AS BOOLEAN) AS seen,
+ concat('u', user_id, '=', event_id) AS rest FROM {_OBJECTS} JOIN events USING (event_id)""",
+)
+def _(t):
+    others = F.array_join(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return _split(t)[0].select("event_id", "type", "k", F.col("amount").cast("string").alias("amount"), "seen", others.alias("rest"))
+
+
+@query("n12_property_rejects", "SELECT * FROM {event_props} WHERE event_id % 50 IN (7, 8)")
+def _(t):
+    return _split(t)[1]
