@@ -9,6 +9,7 @@ containment and the number of distinct shingles.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 # Buckets of the range that orders documents; their number follows the session's
 # shuffle partitions, their bounds the quantiles of doc_id.
 _ACCURACY = 20_000
+# Bytes at the start of a text by which the rows of one frequent doc_id are divided.
+_START_BYTES = 7
+# Ranges that one doc_id can be divided into.
+_SLICES = 1 << 24
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -113,27 +118,82 @@ def range_bucket(value: Column, cuts: list[int]) -> Column:
     return F.when(value.isNull(), -1).otherwise((coarse * step + fine).cast("int"))
 
 
+def _start(text: Column) -> Column:
+    """The first bytes of a text as a number; numbers are in the order of the texts."""
+    first = F.hex(F.substring(F.encode(text, "UTF-8"), 1, _START_BYTES))
+    return F.conv(F.rpad(first, 2 * _START_BYTES, "0"), 16, 10).cast("long")
+
+
+def _slices(ids: DataFrame, frequent: dict[int | None, int]) -> dict[int | None, list[int]]:
+    """Ascending starts of texts that divide the rows of each frequent doc_id (null: None) into about as many slices as asked for."""
+    most = max(frequent.values())
+    # Bounded: as many ids as fill a bucket, each with that many numbers.
+    rows = (
+        ids.where(F.col("doc_id").isin([one for one in frequent if one is not None]) | F.col("doc_id").isNull())
+        .groupBy("doc_id")
+        .agg(F.percentile_approx(_start(F.col("text")), [i / most for i in range(1, most)], F.lit(_ACCURACY)).alias("starts"))
+        .collect()
+    )
+    found = {}
+    for row in rows:
+        wanted = frequent.get(row["doc_id"], 1)
+        found[row["doc_id"]] = sorted({row["starts"][i * most // wanted - 1] for i in range(1, wanted)})
+    return found
+
+
+def _buckets(ids: DataFrame, buckets: int) -> Column:
+    """The number of a row's range, ascending by doc_id and text; null doc_ids come first.
+
+    Bounds are quantiles of doc_id. One that is a bound several times fills several ranges: it gets ranges of its own, divided by
+    the starts of texts, and so do null doc_ids. Only rows with one doc_id whose texts begin alike share a range whatever their number.
+    """
+    if buckets < 2:
+        return F.when(F.col("doc_id").isNull(), -_SLICES).otherwise(0).cast("long")
+    shares = [i / buckets for i in range(1, buckets)]
+    numbers = ids.agg(
+        F.percentile_approx("doc_id", shares, F.lit(_ACCURACY)).alias("bounds"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+    ).first()
+    bounds = numbers["bounds"] or []
+    frequent: dict[int | None, int] = {one: times for one, times in Counter(bounds).items() if times > 1}
+    if numbers["nulls"] * buckets > numbers["rows"]:
+        frequent[None] = -(-numbers["nulls"] * buckets // numbers["rows"])
+    # Below a frequent id ends the range before it.
+    cuts = sorted(set(bounds) | {one - 1 for one in frequent if one is not None and one > -(2**63)})
+    bucket = range_bucket(F.col("doc_id"), cuts)
+    if not frequent:
+        return bucket.cast("long") * _SLICES
+    starts = {(-1 if one is None else cuts.index(one)): found for one, found in _slices(ids, frequent).items() if found}
+    if not starts:
+        return bucket.cast("long") * _SLICES
+    listed = F.create_map(*[part for at, found in starts.items() for part in (F.lit(at), F.lit(found))])
+    own = F.element_at(listed, bucket)
+    within = F.when(own.isNotNull(), _count_below(own, _start(F.col("text")))).otherwise(0)
+    return bucket.cast("long") * _SLICES + within
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, doc_id, text) with the text of the next document by descending doc_id, the first's after the last.
 
-    Documents are dealt by ranges of doc_id (as even as its quantiles), so each text moves once and no task
-    sees all of them. The head of every range is also copied to the end of the range that precedes it.
+    Documents are dealt by ranges of doc_id and, where many share one or have none, of text (as even as the quantiles),
+    so each text moves once and no task sees all of them. The head of every range is also copied to the end of the range that precedes it.
     Null doc_ids come last; ties are ordered by the text. A single document is its own next one.
     Rows of later windows over the same bucket and order need no new exchange.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = ids.agg(F.percentile_approx("doc_id", shares, F.lit(_ACCURACY))).first()[0] if shares else None
-    placed = ids.withColumn("bucket", range_bucket(F.col("doc_id"), sorted(set(bounds or []))))
+    placed = ids.withColumn("bucket", _buckets(ids, buckets))
     # One row of numbers per bucket. Its head is the row with the largest id and, of ties, the largest text.
-    tops = placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
+    start = _start(F.col("text"))
+    tops = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", start.alias("start"))).alias("top")).collect()
     present = sorted((row["bucket"] for row in tops), reverse=True)
     before = {bucket: present[i - 1] for i, bucket in enumerate(present)}
     targets = spark.createDataFrame(
-        [(row["bucket"], row["top"], before[row["bucket"]]) for row in tops], "_bucket int, _top long, _target int"
+        [(row["bucket"], row["top"]["doc_id"], row["top"]["start"], before[row["bucket"]]) for row in tops],
+        "_bucket long, _top long, _start long, _target long",
     )
-    is_top = (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("_top"))
+    is_top = (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("_top")) & (start == F.col("_start"))
     heads = (
         placed.join(F.broadcast(targets), is_top)
         .groupBy(F.col("_target").alias("bucket"), "doc_id")

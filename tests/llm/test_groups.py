@@ -133,6 +133,20 @@ def test_fingerprints(spark, small, rows):
     assert len(found) == len(rows) and max(errors) < 0.25 and sum(errors) / len(errors) < 0.05
 
 
+def test_fingerprints_of_frequent_ids(spark):
+    # A third of the rows have no id and a third share one, both beside ids of their own.
+    cases = [(None, f"{i % 90:03d} none {i}") for i in range(400)] + [(7, f"{i % 80:02d}é same {i}") for i in range(400)]
+    cases += [(i, f"own {i}") for i in range(-200, 200) if i != 7] + [(7, None), (None, "")]
+    docs = spark.createDataFrame(cases, "doc_id long, text string").repartition(5)
+    placed = fingerprints.with_next(docs, 12).where("NOT _copy")
+    sizes = {row["bucket"]: row["count"] for row in placed.groupBy("bucket").count().collect()}
+    assert max(sizes.values()) < 250 and len(sizes) >= 10
+    ordered = sorted(((-(10**9) if i is None else i, t or "") for i, t in cases), reverse=True)
+    expected = [(i, t, ordered[(at + 1) % len(ordered)][1]) for at, (i, t) in enumerate(ordered)]
+    found = [(-(10**9) if r["doc_id"] is None else r["doc_id"], r["text"], r["next_text"]) for r in placed.collect()]
+    assert sorted(found) == sorted(expected)
+
+
 def test_fingerprint_edges(make):
     cases = ODD + [(8, "É"), (None, "last one here"), (None, "another")]
     got = fingerprints.edited_pairs(make(cases), 4).collect()
