@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,6 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 _ACCURACY = 20_000
 # Bytes at the start of a text by which the rows of one frequent doc_id are divided.
 _START_BYTES = 7
-# Ranges that one doc_id can be divided into.
-_SLICES = 1 << 24
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -148,7 +147,7 @@ def _buckets(ids: DataFrame, buckets: int) -> Column:
     the starts of texts, and so do null doc_ids. Only rows with one doc_id whose texts begin alike share a range whatever their number.
     """
     if buckets < 2:
-        return F.when(F.col("doc_id").isNull(), -_SLICES).otherwise(0).cast("long")
+        return range_bucket(F.col("doc_id"), [])
     shares = [i / buckets for i in range(1, buckets)]
     numbers = ids.agg(
         F.percentile_approx("doc_id", shares, F.lit(_ACCURACY)).alias("bounds"),
@@ -163,14 +162,16 @@ def _buckets(ids: DataFrame, buckets: int) -> Column:
     cuts = sorted(set(bounds) | {one - 1 for one in frequent if one is not None and one > -(2**63)})
     bucket = range_bucket(F.col("doc_id"), cuts)
     if not frequent:
-        return bucket.cast("long") * _SLICES
+        return bucket
     starts = {(-1 if one is None else cuts.index(one)): found for one, found in _slices(ids, frequent).items() if found}
     if not starts:
-        return bucket.cast("long") * _SLICES
+        return bucket
     listed = F.create_map(*[part for at, found in starts.items() for part in (F.lit(at), F.lit(found))])
     own = F.element_at(listed, bucket)
     within = F.when(own.isNotNull(), _count_below(own, _start(F.col("text")))).otherwise(0)
-    return bucket.cast("long") * _SLICES + within
+    # Numbers without gaps, from -1: slices move the numbers of all later ranges.
+    first = accumulate((1 + len(starts.get(at, [])) for at in range(-1, len(cuts))), initial=-1)
+    return F.get(F.lit(list(first)), bucket + 1) + within
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
@@ -191,7 +192,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     before = {bucket: present[i - 1] for i, bucket in enumerate(present)}
     targets = spark.createDataFrame(
         [(row["bucket"], row["top"]["doc_id"], row["top"]["start"], before[row["bucket"]]) for row in tops],
-        "_bucket long, _top long, _start long, _target long",
+        "_bucket int, _top long, _start long, _target int",
     )
     is_top = (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("_top")) & (start == F.col("_start"))
     heads = (
@@ -200,7 +201,9 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
         .agg(F.max("text").alias("text"))
         .withColumn("_copy", F.lit(True))
     )
-    return placed.withColumn("_copy", F.lit(False)).unionByName(heads).withColumn("next_text", F.lead("text").over(_order()))
+    # A partition for every bucket: the session's number of them would hold more the longer the table is.
+    dealt = placed.withColumn("_copy", F.lit(False)).unionByName(heads).repartition(buckets, "bucket")
+    return dealt.withColumn("next_text", F.lead("text").over(_order()))
 
 
 def _order():
