@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import parse
 from marketlens.functions.numeric import percent
 from marketlens.operators.numbering import with_position
+from marketlens.sources.scratch import materialise
 
 # --- typing of scraped records ----------------------------------------------
 
@@ -148,7 +149,8 @@ def new_rows(
     names = [f"_key{i}" for i in range(len(key))]
     values = [make(column) for column, make in key.items()]
     keyed = batch.where(_complete(required)).withColumns(dict(zip(names, values)))
-    firsts = first_per_key(keyed.where(_complete(names)), [F.col(n) for n in names], order)
+    # Used three times below: written once, so that the batch is parsed and ranked once.
+    firsts = materialise(first_per_key(keyed.where(_complete(names)), [F.col(n) for n in names], order))
     known = existing.select([v.alias(n) for n, v in zip(names, values)])
     # The table is reduced to the batch's keys first: a small batch is broadcast by its measured size and the table is
     # not shuffled. Distinct then, so that a key travels once per map task.

@@ -24,7 +24,7 @@ def _(t):
 def _(t):
     path = new_path(t.spark, "csv")
     files.to_csv(t.products, path)
-    return files.import_table(t.spark, path, "csv", t.products.schema)[0]
+    return files.import_table(t.spark, path, "csv", t.products.schema, target=new_path(t.spark, "imported"))[0]
 
 
 @query("s5_json", "SELECT * FROM {restaurants}")
@@ -46,14 +46,15 @@ def _(t):
 def _(t):
     path = new_path(t.spark, "import")
     files.to_json(t.staging, path)
-    return files.import_table(t.spark, path, "json", t.staging.schema)[0]
+    return files.import_table(t.spark, path, "json", t.staging.schema, target=new_path(t.spark, "imported"))[0]
 
 
 @query("s7_import_rejects", "SELECT COUNT(*) AS rejected FROM {typed_in} WHERE NOT regexp_matches(restaurant_id, '^\\d+$')")
 def _(t):
     path = new_path(t.spark, "import")
     files.to_csv(t.typed_in.select("pos", "restaurant_id"), path)
-    _, bad = files.import_table(t.spark, path, "csv", t.products.selectExpr("id AS pos", "restaurant_id").schema)
+    schema = t.products.selectExpr("id AS pos", "restaurant_id").schema
+    _, bad = files.import_table(t.spark, path, "csv", schema, target=new_path(t.spark, "imported"))
     return bad.agg(F.count(F.lit(1)).alias("rejected"))
 
 

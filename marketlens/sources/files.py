@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from marketlens.sources.scratch import materialise
 
 CORRUPT = "_corrupt_record"
+# The partition column of an imported table: whether its rows are damaged records.
+DAMAGED = "_damaged"
 
 # Quotes are doubled inside quoted fields, as CSV readers outside Spark expect.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -44,14 +46,20 @@ def export_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
 
 
 def import_table(
-    spark: SparkSession, path: str, fmt: str, schema: T.StructType, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    fmt: str,
+    schema: T.StructType,
+    multi_line: bool = False,
+    target: str | None = None,
+    mode: str = "errorifexists",
 ) -> tuple[DataFrame, DataFrame]:
     """Typed rows of CSV or JSON files, and the raw text of records that do not fit.
 
     The schema is explicit: no pass over the data to infer it. Rows are parsed
-    once, whole, into the shared folder: readers of a few columns would otherwise
-    only notice damage in those. ``multi_line`` is for fields with line breaks;
-    such files cannot be split between tasks.
+    once, whole: readers of a few columns would otherwise only notice damage in those. With ``target`` that one write is the
+    imported table itself (``imported`` reads it again), good and damaged rows in partitions apart; without, it is a table in the shared
+    folder. ``multi_line`` is for fields with line breaks; such files cannot be split between tasks.
     """
     if fmt not in ("csv", "json"):
         raise ValueError(f"unknown import format {fmt!r}; use csv or json")
@@ -71,7 +79,20 @@ def import_table(
         rows = reader.options(**CSV_READ_OPTIONS).csv(path)
     else:
         rows = reader.json(path)
-    rows = materialise(rows)
-    good = rows.where(F.col(CORRUPT).isNull()).select(schema.fieldNames())
-    bad = rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
-    return good, bad
+    if target is None:
+        rows = materialise(rows)
+        good = rows.where(F.col(CORRUPT).isNull()).select(schema.fieldNames())
+        return good, rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
+    parted = rows.withColumn(DAMAGED, F.col(CORRUPT).isNotNull())
+    parted.write.mode(mode).partitionBy(DAMAGED).parquet(target)
+    return imported(spark, target, schema)
+
+
+def imported(spark: SparkSession, target: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The typed rows and the damaged records of an imported table; either reads only its own partition."""
+    stored = T.StructType(
+        [*schema.fields, T.StructField(CORRUPT, T.StringType()), T.StructField(DAMAGED, T.BooleanType())]
+    )
+    rows = spark.read.schema(stored).parquet(target)
+    good = rows.where(~F.col(DAMAGED)).select(schema.fieldNames())
+    return good, rows.where(F.col(DAMAGED)).select(F.col(CORRUPT).alias("record"))

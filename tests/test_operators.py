@@ -159,6 +159,8 @@ def test_small_batch_leaves_the_table_in_place(spark):
     batch = spark.createDataFrame([(1, 1, "n5"), (1, 2, "new"), (0, 2000, "new"), (2, 1, " NEW ")], "page_id int, pos int, categorias string")
     fresh = ingest.new_rows(existing, batch, ingest.CATEGORY_KEY, ("categorias",), ("page_id", "pos"))
     assert [tuple(r) for r in fresh.collect()] == [(0, 2000, "new")]
+    # The batch is ranked once and written; no window is left in the plan.
+    assert "Window" not in fresh._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_page_limits(tables):

@@ -65,6 +65,23 @@ def test_import_keeps_damaged_records_apart(spark, tmp_path):
         files.export_table(good, "x", "xlsx")
 
 
+def test_import_into_a_target(spark, tmp_path, monkeypatch):
+    (tmp_path / "in.csv").write_text("id,n\n1,5\n2,many\n3,7\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    monkeypatch.setattr(files, "materialise", None)  # no second copy
+    target = str(tmp_path / "table")
+    good, bad = files.import_table(spark, str(tmp_path / "in.csv"), "csv", schema, target=target)
+    assert rows(good.select("id")) == [(1,), (3,)] and rows(bad) == [("2,many",)]
+    assert good.schema == schema
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_damaged" in plan and "PushedFilters: []" in plan
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.import_table(spark, str(tmp_path / "in.csv"), "csv", schema, target=target)
+    (tmp_path / "in.csv").write_text("id,n\n")
+    files.import_table(spark, str(tmp_path / "in.csv"), "csv", schema, target=target, mode="overwrite")
+    assert [frame.count() for frame in files.imported(spark, target, schema)] == [0, 0]
+
+
 def test_import_checks_the_header(spark, tmp_path):
     (tmp_path / "in.csv").write_text("n,id\n1,5\n")
     schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.IntegerType())])
