@@ -1,12 +1,16 @@
-"""Exact duplicates by a tree merge of digest runs.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
 Every input partition is a run: one row per digest with the best identifier and the
 row count. Runs then merge in rounds of a hypercube: in round r the runs that agree in
 all radix-16 digits but the r-th exchange rows, and each keeps the digests whose own r-th digit is
-its new number. A round merges up to 16 runs at once, and after the last one a digest lives
+its new number. A round sorts what up to 16 runs have sent by (run, digest, check, identifier) and passes along that order: the
+first row of a digest stays with the others' rows added. After the last round a digest lives
 in a single run. Rows of one digest are reduced to one per run before they move, so a
 digest that a third of all rows share costs one row per run and round.
 
+A digest stands for a text, which is verified twice: a second hash and the length are compared at every level, and where a digest has
+several rows, their whole texts are compared byte for byte at the end.
+
 The way back is short: the merged digests meet the first runs (one row per run and
 digest), and those meet the documents by run and digest, which keeps a large group spread
 over as many tasks as it had partitions.
@@ -14,7 +18,9 @@ over as many tasks as it had partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import keep_rows, lower_ascii, whole_text
@@ -30,49 +36,77 @@ def normal_text() -> Column:
     return lower_ascii(whole_text())
 
 
-def merge_runs(level: DataFrame, best) -> DataFrame:
+def text_digests(text: Column) -> tuple[Column, Column]:
+    """The digest of a text, and what verifies it at every level: an independent hash that covers the length too."""
+    return F.unhex(F.sha2(text, 256)), F.xxhash64(text, F.octet_length(text))
+
+
+def merge_runs(level: DataFrame, keep: str = "max") -> DataFrame:
     """All rounds over (run, digest, check, best, rows); one row per digest is left."""
     target = F.conv(F.substring(F.hex("digest"), 1, ROUNDS * RADIX_BITS // 4), 16, 10).cast("int")
+    wins = {"max": F.desc_nulls_last, "min": F.asc_nulls_last}[keep]
+    same = Window.partitionBy("run", "digest", "check")
     for step in range(ROUNDS):
-        mask = (RUNS - 1) & ~(((1 << RADIX_BITS) - 1) << (RADIX_BITS * step))
         digit = ((1 << RADIX_BITS) - 1) << (RADIX_BITS * step)
-        partner = F.col("run").bitwiseAND(mask).bitwiseOR(target.bitwiseAND(digit))
-        level = (
-            level.withColumn("run", partner)
-            .groupBy("run", "digest", "check")
-            .agg(best("best").alias("best"), F.sum("rows").alias("rows"))
+        partner = F.col("run").bitwiseAND((RUNS - 1) & ~digit).bitwiseOR(target.bitwiseAND(digit))
+        # Rows go by run alone, so a task holds whole runs and one sort serves the window; a digest has at most 16 rows in it.
+        sent = level.withColumn("run", partner).repartition("run")
+        order = same.orderBy(wins("best"))
+        merged = sent.withColumn("place", F.row_number().over(order)).withColumn(
+            "rows", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         )
+        level = merged.where("place = 1").drop("place")
     return level.drop("run")
 
 
-def exact_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
+def verify_texts(docs: DataFrame, shared: DataFrame, digests: Callable[[Column], tuple[Column, Column]]) -> None:
+    """Raise if texts of ``docs`` that have a digest in ``shared`` (digest, check) are not the same, byte for byte.
+
+    Each map task keeps the smallest and the largest of a digest's texts, so a frequent text moves once per task.
+    """
+    digest, check = digests(F.col("text"))
+    texts = docs.select(normal_text().alias("text")).select(
+        "text", digest.alias("digest"), check.alias("check"), F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run")
+    )
+    members = texts.join(shared, ["digest", "check"], "left_semi")
+    within = members.groupBy("run", "digest", "check").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    across = within.groupBy("digest", "check").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    if not across.where("low <> high").isEmpty():
+        raise ValueError("different texts have the same digest")
+
+
+def exact_groups(
+    docs: DataFrame, keep: str = "max", digests: Callable[[Column], tuple[Column, Column]] = text_digests
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, digest, check.
 
     Texts are equal when identical after lower-casing A-Z. ``keep`` says whether the
     largest or the smallest doc_id of a group stays. A digest is SHA-256; a second, independent
-    hash and the length are part of every comparison, so a collision of digests
-    would not merge two texts.
+    hash and the length are part of every comparison. Where rows share all of these, their texts are compared, and
+    the call raises if two differ: it never merges two texts.
 
     Null texts count as empty. A null doc_id never wins against another one; a group with none but
     null ids keeps null. Repeated rows count in group_size each. An empty table gives an
     empty result. Other columns are not read.
     """
     best = {"max": F.max, "min": F.min}[keep]
-    text = normal_text()
+    digest, check = digests(F.col("_text"))
     rows = materialise(
-        docs.select("doc_id", text.alias("_text")).select(
+        docs.select("doc_id", normal_text().alias("_text")).select(
             "doc_id",
-            F.unhex(F.sha2("_text", 256)).alias("digest"),
-            F.xxhash64("_text", F.octet_length("_text")).alias("check"),
+            digest.alias("digest"),
+            check.alias("check"),
             F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"),
         )
     )
     runs = rows.groupBy("run", "digest", "check").agg(
         best("doc_id").alias("best"), F.count(F.lit(1)).alias("rows")
     )
-    merged = merge_runs(runs, best).select(
-        "digest", "check", F.col("best").alias("keep_id"), F.col("rows").alias("group_size")
+    merged = materialise(
+        merge_runs(runs, keep).select("digest", "check", F.col("best").alias("keep_id"), F.col("rows").alias("group_size"))
     )
+    # Written first: Spark broadcasts them by their bytes on storage, or sorts and merges both sides.
+    verify_texts(docs, materialise(merged.where("group_size > 1").select("digest", "check")), digests)
     told = runs.select("run", "digest", "check").join(merged, ["digest", "check"])
     return rows.join(told, ["run", "digest", "check"]).drop("run")
 
@@ -88,4 +122,4 @@ def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
         .groupBy("doc_id", F.col("digest").alias("_key"), "check")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    return keep_rows(docs, F.unhex(F.sha2(normal_text(), 256)), kept)
+    return keep_rows(docs, text_digests(normal_text())[0], kept)

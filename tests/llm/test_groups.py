@@ -107,6 +107,33 @@ def test_exact_groups(make):
     assert exact_dedup.exact_groups(make(cases).limit(0)).count() == 0
 
 
+def test_runs_merge_by_rounds(spark):
+    # One digest in every third run, others in few; runs hold one row per digest.
+    level = [(run, f"{digest:02x}" * 32, digest, run * 7 % 4096, 1 + run % 3) for run in range(0, 4096, 3) for digest in (5, 200)]
+    level += [(9, "ab" * 32, 1, None, 4), (4000, "ab" * 32, 1, 3, 2), (4000, "ab" * 32, 2, None, 1)]
+    runs = spark.createDataFrame(level, "run int, digest string, check long, best long, rows long")
+    runs = runs.withColumn("digest", F.unhex("digest"))
+    for keep, best in (("max", max), ("min", min)):
+        expected = {}
+        for _, digest, check, doc_id, n in level:
+            ids, total = expected.get((digest, check), ([], 0))
+            expected[digest, check] = (ids + [doc_id] * (doc_id is not None), total + n)
+        merged = exact_dedup.merge_runs(runs, keep)
+        got = {(r.digest.hex(), r.check): (r.best, r.rows) for r in merged.collect()}
+        assert got == {key: (best(ids, default=None), n) for key, (ids, n) in expected.items()}
+        assert merged.count() == len(expected)
+
+
+def test_texts_of_one_digest_are_compared(make):
+    def weak(text):
+        return F.unhex(F.sha2(F.substring(text, 1, 1), 256)), F.xxhash64(F.octet_length(text))
+
+    same = make([(i, "abc") for i in range(50)] + [(60, "xyz"), (61, "ab")])
+    assert exact_dedup.exact_groups(same, digests=weak).where("group_size = 50").count() == 50
+    with pytest.raises(ValueError, match="digest"):
+        exact_dedup.exact_groups(same.unionByName(make([(70, "abd")])), digests=weak)
+
+
 def test_native_plans(spark, small):
     for name in ("op1_fingerprints", "op9_exact_dedup", "op10_pii"):
         plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
