@@ -8,8 +8,8 @@ first row of a digest stays with the others' rows added. After the last round a
 in a single run. Rows of one digest are reduced to one per run before they move, so a
 digest that a third of all rows share costs one row per run and round.
 
-A digest stands for a text, which is verified twice: a second hash and the length are compared at every level, and where a digest has
-several rows, their whole texts are compared byte for byte at the end.
+A digest stands for a text, which is verified twice: a second hash and the length are compared at every level, and the whole
+texts of a digest are compared byte for byte once, whatever level they meet on.
 
 The way back is short: the merged digests meet the first runs (one row per run and
 digest), and those meet the documents by run and digest, which keeps a large group spread
@@ -59,19 +59,14 @@ def merge_runs(level: DataFrame, keep: str = "max") -> DataFrame:
     return level.drop("run")
 
 
-def verify_texts(docs: DataFrame, shared: DataFrame, digests: Callable[[Column], tuple[Column, Column]]) -> None:
-    """Raise if texts of ``docs`` that have a digest in ``shared`` (digest, check) are not the same, byte for byte.
+def verify_texts(docs: DataFrame, digests: Callable[[Column], tuple[Column, Column]] = text_digests) -> None:
+    """Raise if two texts of ``docs`` that share digest and check are not the same, byte for byte.
 
-    Each map task keeps the smallest and the largest of a digest's texts, so a frequent text moves once per task.
+    Different texts are counted per digest. Map tasks drop the repeats of a text first, so a frequent one moves once per task.
     """
     digest, check = digests(F.col("text"))
-    texts = docs.select(normal_text().alias("text")).select(
-        "text", digest.alias("digest"), check.alias("check"), F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run")
-    )
-    members = texts.join(shared, ["digest", "check"], "left_semi")
-    within = members.groupBy("run", "digest", "check").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    across = within.groupBy("digest", "check").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    if not across.where("low <> high").isEmpty():
+    texts = docs.select(normal_text().alias("text")).select("text", digest.alias("digest"), check.alias("check")).distinct()
+    if not texts.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").isEmpty():
         raise ValueError("different texts have the same digest")
 
 
@@ -102,11 +97,10 @@ def exact_groups(
     runs = rows.groupBy("run", "digest", "check").agg(
         best("doc_id").alias("best"), F.count(F.lit(1)).alias("rows")
     )
-    merged = materialise(
-        merge_runs(runs, keep).select("digest", "check", F.col("best").alias("keep_id"), F.col("rows").alias("group_size"))
+    verify_texts(docs, digests)
+    merged = merge_runs(runs, keep).select(
+        "digest", "check", F.col("best").alias("keep_id"), F.col("rows").alias("group_size")
     )
-    # Written first: Spark broadcasts them by their bytes on storage, or sorts and merges both sides.
-    verify_texts(docs, materialise(merged.where("group_size > 1").select("digest", "check")), digests)
     told = runs.select("run", "digest", "check").join(merged, ["digest", "check"])
     return rows.join(told, ["run", "digest", "check"]).drop("run")
 
