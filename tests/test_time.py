@@ -233,6 +233,52 @@ def test_overlaps_and_concurrency(spark, many_ranges):
     assert intervals.overlaps(frame.limit(0), frame).count() == 0 and intervals.concurrency(frame.limit(0)).count() == 0
 
 
+def spans(spark, data, parts=4):
+    return spark.createDataFrame(data, "id int, start timestamp, end timestamp").repartition(parts)
+
+
+def test_overlaps_in_small_blocks(spark, many_ranges, monkeypatch):
+    """Blocks, slices and ties: pairs of two tables, and pairs within one, each once."""
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    monkeypatch.setattr(intervals, "SLICE_PAIRS", 20)
+    monkeypatch.setattr(intervals, "TASK_PAIRS", 500)
+    rng = random.Random(8)
+
+    def some(n):
+        begins = [rng.randrange(300) for _ in range(n)]
+        data = [(rng.choice([i, i, None, 3]), at(b), at(rng.choice([b, b + 1, b + rng.randrange(40), 350]))) for i, b in enumerate(begins)]
+        return data + data[:9] + [(5000, at(7), at(7)), (5001, at(9), at(2)), (5002, None, at(3)), (5003, at(3), None)]
+
+    mine, theirs = some(110), some(70)
+
+    def meet(a, b):
+        return None not in a[1:] + b[1:] and a[1] < a[2] and b[1] < b[2] and a[1] < b[2] and b[1] < a[2]
+
+    found = intervals.overlaps(spans(spark, mine), spans(spark, theirs).withColumnRenamed("id", "key"))
+    assert found.schema["right"].dataType.names == ["key", "start", "end"]
+    expected = Counter((a, b) for a in mine for b in theirs if meet(a, b))
+    assert Counter((tuple(r.left), tuple(r.right)) for r in found.collect()) == expected
+    within = intervals.overlaps(spans(spark, mine)).collect()
+    assert all(r.left.start <= r.right.start for r in within)
+    pairs = Counter(frozenset(Counter([a, b]).items()) for i, a in enumerate(mine) for b in mine[:i] if meet(a, b))
+    assert Counter(frozenset(Counter([tuple(r.left), tuple(r.right)]).items()) for r in within) == pairs
+
+
+def test_overlaps_of_one_moment_are_divided(spark, many_ranges, monkeypatch):
+    """Long intervals with one end that meet many short ones at one moment: no task makes most of the pairs."""
+    monkeypatch.setattr(intervals, "SLICE_PAIRS", 1000, raising=False)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        long = spans(spark, [(i, at(i), at(90_000)) for i in range(400)])
+        short = spans(spark, [(i, at(80_000), at(80_001)) for i in range(200)])
+        made = [r["count"] for r in intervals.overlaps(long, short).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(made) == 400 * 200 and max(made) < sum(made) / 2
+
+
 # --- levels and copies -------------------------------------------------------
 
 
