@@ -10,9 +10,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.operators import along, changes, ingest, intervals, lattice, multiset, paging, sessions, stats
+from marketlens.operators import along, changes, ingest, intervals, lattice, multiset, numbering, paging, sessions, stats
 from marketlens.plans.registry import Tables
-from marketlens.sources import history
+from marketlens.sources import history, scratch
 from marketlens.streaming import arrivals
 from marketlens.streaming.ingest import stream_ingest, table_so_far
 from marketlens.streaming.state import KeyState
@@ -279,6 +279,57 @@ def test_overlaps_of_one_moment_are_divided(spark, many_ranges, monkeypatch):
     assert sum(made) == 400 * 200 and max(made) < sum(made) / 2
 
 
+@pytest.mark.parametrize("block,marks", [(64, 1 << 18), (24, 5)])
+def test_overlaps_within_steps(spark, many_ranges, monkeypatch, block, marks):
+    """Few starts are known to all tasks, and many rows start at one moment: what lies between two known starts is told apart."""
+    monkeypatch.setattr(intervals, "BLOCK", block)
+    monkeypatch.setattr(intervals, "MAX_MARKS", marks, raising=False)
+    rng = random.Random(11)
+
+    def some(n):
+        begins = [rng.choice([100, rng.randrange(400)]) for _ in range(n)]
+        return [(i, at(b), at(b + rng.choice([1, 1, 2, 25, 300]))) for i, b in enumerate(begins)]
+
+    mine, theirs = some(230), some(170)
+    found = intervals.overlaps(spans(spark, mine), spans(spark, theirs))
+    assert Counter((r.left.id, r.right.id) for r in found.collect()) == Counter((a[0], b[0]) for a in mine for b in theirs if a[1] < b[2] and b[1] < a[2])
+    within = Counter(frozenset([r.left.id, r.right.id]) for r in intervals.overlaps(spans(spark, mine)).collect())
+    assert within == Counter(frozenset([a[0], b[0]]) for i, a in enumerate(mine) for b in mine[:i] if a[1] < b[2] and b[1] < a[2])
+
+
+def moved(frame):
+    """Rows that the exchanges of a frame write when it runs."""
+    query = frame._jdf.queryExecution()
+    query.toRdd().count()
+
+    def below(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return below(node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan())
+        written, children = node.metrics().get("shuffleRecordsWritten"), node.children()
+        return (written.get().value() if written.isDefined() else 0) + sum(below(children.apply(i)) for i in range(children.size()))
+
+    return below(query.executedPlan())
+
+
+def test_overlaps_move_and_write_rows_not_pairs(spark, many_ranges, monkeypatch):
+    """Every interval overlaps every other: what is written and moved for the pairs grows with the rows alone."""
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    written = []
+
+    def recorded(frame, real=scratch.materialise):
+        written.append(real(frame))
+        return written[-1]
+
+    for module in (along, intervals, numbering):
+        monkeypatch.setattr(module, "materialise", recorded, raising=False)
+    n = 200
+    pairs = intervals.overlaps(spans(spark, [(i, at(i), at(10_000)) for i in range(n)]))
+    assert moved(pairs) < 6 * n
+    assert sum(frame.count() for frame in written) < 3 * n
+    assert pairs.count() == n * (n - 1) // 2
+
+
 # --- levels and copies -------------------------------------------------------
 
 
